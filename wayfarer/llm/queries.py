@@ -1,6 +1,8 @@
 """The registered query of each operator, and DuckDB SQL where that can state it."""
 
+from .media import op8_media
 from .mixing import op9_mixing
+from .quality import op5_quality
 
-QUERIES = {"op9_mixing": op9_mixing}
+QUERIES = {"op5_quality": op5_quality, "op8_media": op8_media, "op9_mixing": op9_mixing}
 ORACLE_SQL: dict[str, str] = {}
