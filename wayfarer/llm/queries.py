@@ -3,6 +3,7 @@
 from .media import op8_media
 from .mixing import op9_mixing
 from .quality import op5_quality
+from .simhash import op10_simhash
 
-QUERIES = {"op5_quality": op5_quality, "op8_media": op8_media, "op9_mixing": op9_mixing}
+QUERIES = {"op5_quality": op5_quality, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {}
