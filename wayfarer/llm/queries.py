@@ -3,7 +3,19 @@
 from .media import op8_media
 from .mixing import op9_mixing
 from .quality import op5_quality
+from .secrets import op2_secrets, op2_sql
 from .simhash import op10_simhash
+from .warc import op6_warc
 
-QUERIES = {"op5_quality": op5_quality, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_secrets": op2_secrets, "op5_quality": op5_quality, "op6_warc": op6_warc, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secrets": op2_sql(),
+    "op6_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first_id THEN first_id END AS refers_to
+        FROM f
+    """,
+}
