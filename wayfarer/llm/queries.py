@@ -2,13 +2,14 @@
 
 from .media import op8_media
 from .mixing import op9_mixing
+from .pieces import op3_pieces
 from .quality import op5_quality
 from .secrets import op2_secrets, op2_sql
 from .simhash import op10_simhash
 from .substrings import op4_substrings
 from .warc import op6_warc
 
-QUERIES = {"op2_secrets": op2_secrets, "op4_substrings": op4_substrings, "op5_quality": op5_quality, "op6_warc": op6_warc, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+QUERIES = {"op2_secrets": op2_secrets, "op3_pieces": op3_pieces, "op4_substrings": op4_substrings, "op5_quality": op5_quality, "op6_warc": op6_warc, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": op2_sql(),
     "op6_warc": """
