@@ -1,6 +1,7 @@
 """The registered query of each operator, and DuckDB SQL where that can state it."""
 
 from .language_model import op1_language_model
+from .lines import op7_lines
 from .media import op8_media
 from .mixing import op9_mixing
 from .pieces import op3_pieces
@@ -10,7 +11,7 @@ from .simhash import op10_simhash
 from .substrings import op4_substrings
 from .warc import op6_warc
 
-QUERIES = {"op1_language_model": op1_language_model, "op2_secrets": op2_secrets, "op3_pieces": op3_pieces, "op4_substrings": op4_substrings, "op5_quality": op5_quality, "op6_warc": op6_warc, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+QUERIES = {"op1_language_model": op1_language_model, "op2_secrets": op2_secrets, "op3_pieces": op3_pieces, "op4_substrings": op4_substrings, "op5_quality": op5_quality, "op6_warc": op6_warc, "op7_lines": op7_lines, "op8_media": op8_media, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": op2_sql(),
     "op6_warc": """
