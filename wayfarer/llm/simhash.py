@@ -88,7 +88,7 @@ def grouped(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFram
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, paired: int = PAIRED) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFrame:
     """Of each component, the document with the smallest doc_id, with the columns of docs. Rows without a doc_id stay."""
     found = grouped(docs, shingle, paired).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_key").alias("__key"))
     named = docs.where("doc_id is not null").withColumn("__row", F.xxhash64("text"))
