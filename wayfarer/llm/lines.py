@@ -27,7 +27,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(_HAS_WORD)).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
-_FIRST = F.min(F.struct("doc_id", "text_key", "line_no"))
+def _first() -> Column:
+    """Where a line first occurs."""
+    return F.min(F.struct("doc_id", "text_key", "line_no"))
 
 
 def _keys(line: Column) -> Column:
@@ -71,7 +73,7 @@ def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """h1, h2, line and first (where it first occurs) of the lines whose h1 is in ids."""
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return lines.join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"), _FIRST.alias("first"))
+    return lines.join(ids, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"), _first().alias("first"))
 
 
 def near(lines: DataFrame, paired: int = PAIRED) -> DataFrame:
@@ -112,7 +114,7 @@ def dropped(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
     """doc_id, text_key, exact, near: the line numbers to drop from each text that loses lines."""
     lines = _lines(docs)
     occurrences = lines.select("doc_id", "text_key", "line_no", "h1", "h2")
-    several = occurrences.groupBy("h1", "h2").agg(_FIRST.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    several = occurrences.groupBy("h1", "h2").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     here = F.struct("doc_id", "text_key", "line_no")
     exact = occurrences.join(several, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "line_no", F.lit(False).alias("near"))
     later = stored(near(lines, paired), "line-near")
