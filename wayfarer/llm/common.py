@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,17 @@ def text_or_empty(name: str = "text") -> Column:
 
 def text_bytes(name: str = "text") -> Column:
     return text_or_empty(name).cast("binary")
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds up to `most` bytes of a text column, or one row: workers hold no more at a time."""
+    for batch in batches:
+        begin = size = 0
+        for k, x in enumerate(batch.column(column)):
+            n = x.as_buffer().size if x.is_valid else 0
+            if k > begin and size + n > most:
+                yield batch.slice(begin, k - begin)
+                begin, size = k, 0
+            size += n
+        if batch.num_rows > begin:
+            yield batch.slice(begin)

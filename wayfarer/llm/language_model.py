@@ -14,18 +14,22 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import slices, stored, table, text_bytes
 
 END = b" "  # no word: words hold no space
 HEAD, CLASS_WORDS, TAIL_CLASSES, HIDDEN = 2048, 64, 64, 24
-ROUNDS, SHARE = 3, 6  # each round takes one in SHARE training documents
-TRAIN_LANES, TRAIN_WINDOW, SCORE_LANES, SCORE_WINDOW = 32, 32, 256, 32
+ROUNDS, SHARE = 3, 12  # each round takes one in SHARE training documents
+TRAIN_LANES, TRAIN_WINDOW, SCORE_LANES, SCORE_WINDOW = 64, 16, 256, 32
+TRAIN_PART = 512
+SLICE_BYTES = 6_000_000  # of text that a worker packs into lanes at a time
+LONG_BYTES = 24_000  # longer texts are packed with each other, so that few lanes don't go on alone
 RATE = 0.01
-KNOWN_WORDS = 4_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
+KNOWN_WORDS = 1_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
 SEED = 11
 
 
@@ -122,6 +126,7 @@ def _grid(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, n
             active[len(line)] -= 1
     inputs = np.zeros_like(target)  # a document begins as if after END
     inputs[1:] = target[:-1]
+    inputs[1:][doc[1:] != doc[:-1]] = 0
     return target, inputs, (inputs != 0).astype(np.float32), doc, np.cumsum(active)[:-1]
 
 
@@ -232,8 +237,10 @@ class Adam:
 
 
 def train(network: Network, adam: Adam, docs: list[np.ndarray]) -> int:
-    """Truncated backpropagation over whole documents in lanes; returns the tokens seen."""
-    target, inputs, go_on, _, active = _grid(docs, TRAIN_LANES)
+    """Truncated backpropagation over all tokens in lanes; returns the tokens seen. Long documents are trained on in parts
+    of TRAIN_PART tokens, so that all lanes are busy until the end."""
+    parts = [d[k : k + TRAIN_PART] for d in docs for k in range(0, len(d), TRAIN_PART)]
+    target, inputs, go_on, _, active = _grid(parts, TRAIN_LANES)
     h = np.zeros((target.shape[1], HIDDEN), np.float32)
     for t in range(0, len(target), TRAIN_WINDOW):
         n = active[t]
@@ -265,6 +272,23 @@ def score(network: Network, docs: list[np.ndarray]) -> np.ndarray:
     return out / np.log(10)
 
 
+def _by_length(batches):
+    """Slices of texts of like length: long ones are held back until there are SLICE_BYTES of them."""
+    held, size = [], 0
+    for batch in batches:
+        n = pc.binary_length(batch.column("text"))
+        long = pc.greater(n, LONG_BYTES)
+        yield from slices([batch.filter(pc.invert(long))], "text", SLICE_BYTES)
+        if pc.any(long).as_py():
+            held.append(batch.filter(long))
+            size += pc.sum(n.filter(long)).as_py()
+        if size > SLICE_BYTES:
+            yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches(), "text", SLICE_BYTES)
+            held, size = [], 0
+    if held:
+        yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches(), "text", SLICE_BYTES)
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
 
@@ -273,7 +297,7 @@ def _counts(texts: DataFrame) -> DataFrame:
     """word, c over texts(text), the ends included; counted within each batch before the shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             counts: dict[bytes, int] = {END: batch.num_rows}
             for x in batch.column(0):
                 for w in x.as_py().lower().split():
@@ -317,7 +341,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             parameters = {k: x.copy() for k, x in parameters.items()}
             network, numbers, seen = Network(parameters, len(vocabulary.head)), _Numbers(vocabulary), 0
             adam = Adam(parameters)
-            for batch in batches:
+            for batch in _by_length(batches):
                 docs = [np.array([*map(numbers.__getitem__, x.as_py().lower().split()), 0], np.int32) for x in batch.column("text")]
                 if docs:
                     seen += train(network, adam, docs)
@@ -351,13 +375,13 @@ def scored(docs: DataFrame) -> DataFrame:
     known = frequent.toArrow()
     order = np.argsort(known.column("h").to_numpy(), kind="stable")
     hashes, sizes = known.column("h").to_numpy()[order], known.column("c").to_numpy()[order]
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, parameters, hashes, sizes.astype(np.int64)))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, parameters, hashes, sizes.astype(np.int32) if not len(sizes) or sizes.max() < 2**31 else sizes))
 
     def run(batches):
         vocabulary, parameters, hashes, sizes = sent.value
         network, numbers, head = Network(parameters, len(vocabulary.head)), _Numbers(vocabulary), len(vocabulary.head)
         share = np.log10(vocabulary.tail_counts + vocabulary.tail_words + 1.0)
-        for batch in batches:
+        for batch in _by_length(batches):
             index: dict[bytes, int] = {}
             flat, lengths = [], []
             for x in batch.column("text"):
