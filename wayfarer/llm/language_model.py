@@ -134,6 +134,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def _centred(logits: np.ndarray, spread: float, top: float) -> np.ndarray:
+    """logits less what keeps their exponentials in range: one number where they lie within spread of top, as states lie
+    in [-1, 1], else each row's largest."""
+    logits -= top if spread < 60 else logits.max(axis=1, keepdims=True)
+    return logits
+
+
 class Network:
     def __init__(self, parameters: dict[str, np.ndarray], head: int):
         self.p, self.head = parameters, head
@@ -164,8 +171,8 @@ class Network:
         p = self.p
         c = self.class_of(target)
         rows = np.arange(len(target))
-        logits = states @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
+        spread = np.abs(p["c"]).sum(axis=0)
+        logits = _centred(states @ p["c"] + p["cb"], 2 * float(spread.max()), float((p["cb"] + spread).max()))
         e = np.exp(logits)
         total = e.sum(axis=1)
         score = logits[rows, c] - np.log(total)
@@ -178,14 +185,15 @@ class Network:
             slope = d @ p["c"].T
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(self.classes + 1))
+        spread = np.abs(p["w"]).sum(axis=1).reshape(self.classes, -1)
+        tops, spreads = (p["wb"].reshape(self.classes, -1) + spread).max(axis=1).tolist(), (2 * spread.max(axis=1)).tolist()
         for k in range(self.classes):
             own = order[edges[k] : edges[k + 1]]
             if not len(own):
                 continue
             at = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
             s = states[own]
-            logits = s @ p["w"][at].T + p["wb"][at]
-            logits -= logits.max(axis=1, keepdims=True)
+            logits = _centred(s @ p["w"][at].T + p["wb"][at], spreads[k], tops[k])
             e = np.exp(logits)
             total = e.sum(axis=1)
             w = target[own] - k * CLASS_WORDS
