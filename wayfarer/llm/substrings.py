@@ -145,13 +145,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     several = first.where("n > 1").select("text_key", "first")
     copies = keys.join(several, "text_key").where("doc_id > first").select("doc_id", "text_key").distinct()
     anchors = stored(_each(texts, "anchor bigint, place int", seeds), "substring-anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.min("doc_id").alias("least")).where("a <> b").select("anchor", "least")
+    # minima are stored before they are joined back: a join that reads an aggregation can't split an anchor or window with very many rows
+    shared = anchors.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.min("doc_id").alias("least")).where("a <> b")
+    shared = stored(shared.select("anchor", "least"), "substring-shared")
     found = anchors.join(shared, "anchor").withColumn("later", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
     at = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.when(~F.col("later"), F.col("place"))).alias("own"), F.collect_list(F.when(F.col("later"), F.col("place"))).alias("later"))
     copies = stored(copies, "substring-copies")
     seeded = _joined(at, copies, "left_anti")
     windows = stored(_each(_joined(_packed(docs), seeded, "inner"), "w1 bigint, w2 int, start int, state int", extended), "substring-windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1", "w2", "least")
+    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = stored(least.select("w1", "w2", "least"), "substring-least")
     removed = windows.where("state = 2").join(least, ["w1", "w2"]).where("doc_id > least")
     starts = removed.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
     return starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("starts", F.array().cast("array<int>")).withColumn("copy", F.lit(True)))
