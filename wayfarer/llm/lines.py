@@ -81,7 +81,8 @@ def near(lines: DataFrame, paired: int = PAIRED) -> DataFrame:
     keyed = lines.where(F.length("line") >= NEAR_CHARS).select("h1", F.inline(_keys(F.col("line"))))
     keyed = keyed.groupBy("key", "h1").agg(F.min("longer").alias("longer"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("longer"), 1)).alias("own")).where("n > 1 and own > 0")
-    crowded = stored(keyed.join(sizes, "key").select("key", "h1", "longer", "n"), "line-keys")
+    # counts and minima are stored before they are joined back: a join that reads an aggregation can't split a line or entry with very many rows
+    crowded = stored(keyed.join(stored(sizes, "line-sizes"), "key").select("key", "h1", "longer", "n"), "line-keys")
     few = crowded.where(F.col("n") <= paired)
     a = few.where("not longer").select("key", F.col("h1").alias("a"))
     b = few.select("key", F.col("h1").alias("b"), "longer")
@@ -116,7 +117,7 @@ def dropped(docs: DataFrame, paired: int = PAIRED) -> DataFrame:
     occurrences = lines.select("doc_id", "text_key", "line_no", "h1", "h2")
     several = occurrences.groupBy("h1", "h2").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     here = F.struct("doc_id", "text_key", "line_no")
-    exact = occurrences.join(several, ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "line_no", F.lit(False).alias("near"))
+    exact = occurrences.join(stored(several, "line-several"), ["h1", "h2"]).where(~here.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "line_no", F.lit(False).alias("near"))
     later = stored(near(lines, paired), "line-near")
     close = occurrences.join(later, ["h1", "h2"], "left_semi").select("doc_id", "text_key", "line_no", F.lit(True).alias("near"))
     numbers = lambda is_near: F.collect_set(F.when(F.col("near") == is_near, F.col("line_no")))
