@@ -3,7 +3,7 @@
 Text is normalised as the model says (identity, spaces shown as U+2581, one in front) and cut into units that no piece
 crosses. Each distinct unit is exploded into its substrings up to the longest piece; an equi-join to the piece table
 leaves the lattice's edges, which are grouped by unit and folded with a higher-order aggregate: Viterbi for unigram
-models. A BPE model's pieces are merge ranks, for which the best path is not what its encoder gives, so there the
+models (of paths with equal scores the one whose last pieces are longest). A BPE model's pieces are merge ranks, for which the best path is not what its encoder gives, so there the
 fold merges the neighbouring edges with the best rank until none is left. Documents are then rewritten from the units'
 pieces: by a dictionary of bounded size, and by a join for units beyond it.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import freeing, slices, stored, table, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -34,6 +34,9 @@ UNKNOWN_PENALTY = 10.0  # an unknown character scores so much less than the wors
 
 FOLD_CHARS = 60  # cuts fit the bits of a number; longer units are folded one by one, in time n log n
 DICTIONARY_UNITS = 8_000_000  # about 20 bytes each
+SLICE_BYTES = 4_000_000  # of text that a worker encodes at a time
+PLAIN = 0x250  # ids of single characters below this code point are looked up by place, not by the join
+HELD_UNITS = 50_000  # units whose edges a task gathers by hash before it sorts them
 
 
 def _fields(data: bytes):
@@ -180,7 +183,7 @@ def _units(docs: DataFrame, model: Model) -> DataFrame:
     pattern, bigrams = model.unit_pattern(), model.bigrams()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             runs: Counter[str] = Counter()
             for x in batch.column(0):
                 runs.update(pattern.findall(model.normalised(x.as_py())))
@@ -190,7 +193,7 @@ def _units(docs: DataFrame, model: Model) -> DataFrame:
                     counts[unit] = counts.get(unit, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["unit", "n"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text_or_empty().alias("text")).mapInArrow(freeing(run), "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def _piece_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -254,8 +257,10 @@ def unit_pieces(units: DataFrame, model: Model) -> DataFrame:
         .withColumn("l", F.explode(F.expr(f"sequence(1, least({most}, length(unit) - b + 1))")))
         .withColumn("piece", F.expr("substring(unit, b, l)"))
     )
-    # the piece table is one model's, of bounded size; a substring of one character stays even if it is no piece
-    edges = substrings.join(F.broadcast(_piece_table(spark, model)), "piece", "left").where("id is not null or l = 1")
+    # the piece table is one model's, of bounded size; each unit's first character stays, so that no unit is lost
+    # a unigram model's fold needs the scores of single characters as well
+    wanted = substrings if model.kind == UNIGRAM else substrings.where(f"l > 1 or b = 1 or ascii(piece) >= {PLAIN}")
+    edges = wanted.join(F.broadcast(_piece_table(spark, model)), "piece", "left").where("id is not null or (l = 1 and b = 1)")
     edge = F.struct((-F.col("score")).alias("rank"), (F.col("b") - 1).alias("b"), (F.col("b") - 1 + F.col("l")).alias("e"), "id", "score", F.expr("shiftleft(1L, b - 1) | shiftleft(1L, b - 1 + l)").alias("ends"), F.expr("shiftleft(1L, b - 1 + l) - shiftleft(1L, b)").alias("inner"))
     lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
     length = F.length("unit")
@@ -267,7 +272,10 @@ def unit_pieces(units: DataFrame, model: Model) -> DataFrame:
         spare = lambda x: _let(text(x), codes)
     else:
         spare = lambda x: F.array(F.lit(model.unknown))
-    found = lambda x: F.get(F.filter("edges", lambda y: (y["b"] == x["b"]) & (y["e"] == x["e"])), 0)["id"]
+    plain = F.array(*[F.lit(model.usable[chr(c)][0] if chr(c) in model.usable else None).cast("int") for c in range(PLAIN)])
+    code = lambda x: F.ascii(F.col("unit").substr(x["b"] + 1, F.lit(1)))
+    edge_id = lambda x: F.get(F.filter("edges", lambda y: (y["b"] == x["b"]) & (y["e"] == x["e"])), 0)["id"]
+    found = lambda x: F.when(x["e"] - x["b"] > 1, edge_id(x)).otherwise(_let(code(x), lambda c: F.when(c < PLAIN, F.get(plain, c)).otherwise(edge_id(x))))
     ids = F.flatten(F.transform(path, lambda x: _let(found(x), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(spare(x)))))
     folded = lattice.select("unit", "n", ids.alias("ids"))
 
@@ -276,7 +284,18 @@ def unit_pieces(units: DataFrame, model: Model) -> DataFrame:
             ids = [model.long_unit(x.as_py()) for x in batch.column("unit")]
             yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
 
-    return folded.unionByName(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(run, "unit string, n bigint, ids array<int>"))
+    return folded.unionByName(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(freeing(run), "unit string, n bigint, ids array<int>"))
+
+
+def _folded_units(docs: DataFrame, model: Model) -> DataFrame:
+    """unit_pieces() of all units of docs, stored; while that runs, edges are gathered by hash for up to HELD_UNITS units a task."""
+    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(name)
+    conf.set(name, str(HELD_UNITS))
+    try:
+        return stored(unit_pieces(stored(_units(docs, model), "units"), model), "pieces")
+    finally:
+        conf.set(name, before)
 
 
 def _dictionary(pieces: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
@@ -313,7 +332,7 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
     """
     model = model or Model.load()
     docs = docs.drop("ids", "n_units")
-    pieces = stored(unit_pieces(_units(docs, model), model), "pieces")
+    pieces = _folded_units(docs, model)
     hashes, places, values, whole = _dictionary(pieces, dictionary_units)
     sent = docs.sparkSession.sparkContext.broadcast((hashes, places, values))
     pattern, bigrams = model.unit_pattern(), model.bigrams()
@@ -340,7 +359,7 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
                 at = pa.array(places, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__key").take(at), pa.array(found, pa.string())], ["doc_id", "__key", "unit"])
 
-        rare = keyed.mapInArrow(missing, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __key bigint, unit string").distinct()
+        rare = keyed.mapInArrow(freeing(missing), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __key bigint, unit string").distinct()
         rare = rare.join(pieces, "unit").groupBy("doc_id", "__key").agg(F.collect_list(F.struct("unit", "ids")).alias("__rare")).withColumnsRenamed({"doc_id": "__id", "__key": "__k"})
         rows = rows.withColumn("__key", F.xxhash64("text")).join(rare, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k", "__key")
     else:
@@ -348,7 +367,7 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
 
     def run(batches):
         _, places, values = sent.value
-        for batch in batches:
+        for batch in slices(batches, "__text", SLICE_BYTES):
             runs: dict[str, int] = {}
             numbers, counts, local = [], [], {}
             for x, rare in zip(batch.column("__text"), batch.column("__rare"), strict=True):
@@ -383,7 +402,7 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary()), pa.array(counts, pa.int64())], [*names, "ids", "n_units"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.select(*docs.columns, "__text", "__rare").mapInArrow(run, f"{schema}, ids binary, n_units bigint")
+    return rows.select(*docs.columns, "__text", "__rare").mapInArrow(freeing(run), f"{schema}, ids binary, n_units bigint")
 
 
 def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
@@ -401,7 +420,7 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return encoded.mapInArrow(freeing(run), f"{schema}, decoded string")
 
 
 def op3_pieces(spark, sf_dir):
