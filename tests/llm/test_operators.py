@@ -59,6 +59,12 @@ def test_language_model(make, odd, monkeypatch):
     assert language_model.scored(make([])).count() == 0
 
 
+def test_each_training_document_is_in_one_round(make, odd):
+    docs = make(odd + [(100 + k, "a b") for k in range(500)])
+    rounds = docs.select(sum(language_model._in_round(k).cast("int") for k in range(language_model.ROUNDS)).alias("n"))
+    assert {r["n"] for r in rounds.collect()} == {1}
+
+
 def test_gradients_of_the_network():
     """Backpropagation against differences."""
     vocabulary = language_model.Vocabulary([language_model.END, *[b"w%d" % k for k in range(70)]], np.arange(71, 0, -1), np.ones(language_model.TAIL_CLASSES, int), np.ones(language_model.TAIL_CLASSES, int))

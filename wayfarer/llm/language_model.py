@@ -23,7 +23,8 @@ from .common import slices, stored, table, text_bytes
 
 END = b" "  # no word: words hold no space
 HEAD, CLASS_WORDS, TAIL_CLASSES, HIDDEN = 2048, 64, 64, 24
-ROUNDS, SHARE = 3, 12  # each round takes one in SHARE training documents
+ROUNDS = 3
+SHARE = ROUNDS  # each round takes one in SHARE training documents, another share each time: together they take all
 TRAIN_LANES, TRAIN_WINDOW, SCORE_LANES, SCORE_WINDOW = 64, 16, 256, 32
 TRAIN_PART = 512
 SLICE_BYTES = 6_000_000  # of text that a worker packs into lanes at a time
@@ -338,6 +339,11 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, np.array([ends, *(r["c"] for r in top)], np.int64), sums, words)
 
 
+def _in_round(k: int) -> Column:
+    """Whether round k trains on a document."""
+    return F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(SHARE)) == k
+
+
 def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     sc = texts.sparkSession.sparkContext
     parameters = initial(vocabulary)
@@ -356,7 +362,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_packed(parameters)], pa.binary())], ["n", "parameters"])
 
-        own = texts.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(SHARE)) == k).select("text")
+        own = texts.where(_in_round(k)).select("text")
         sums = own.mapInArrow(run, "n bigint, parameters binary").rdd.map(lambda r: (r["n"], np.frombuffer(bytes(r["parameters"]), "<f4") * np.float64(r["n"])))
         n, total = sums.treeAggregate((0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
         if n:
