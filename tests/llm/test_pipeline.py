@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_counts, brute_lines, packed, water_level, words
 
 import corpus_pipeline
-from wayfarer.llm import pieces, quality, simhash
+from wayfarer.llm import near_copies, pieces, quality, simhash
 from wayfarer.llm.common import stored
 
 
@@ -66,3 +66,33 @@ def test_rejected_outliers_go(spark, make):
     junk = [(1000, " ".join(f"a{k}$$$" for k in range(100)))]
     kept = quality.passed(make(clean + junk)).select(F.collect_set("doc_id")).first()[0]
     assert sorted(kept) == [k for k, _ in clean]
+
+
+def test_near_copies_of_five_words_go(spark, make):
+    """Texts with some words replaced: what is left is what all pairs of similarity 0.8 or more leave."""
+    r = np.random.default_rng(5)
+    made = []
+    for k in range(12):
+        text = [f"w{x}" for x in r.integers(0, 5000, 300)]
+        for j in range(8):
+            own = list(text)
+            for at in r.integers(0, 300, r.integers(0, 12)):
+                own[at] = f"n{r.integers(0, 5000)}"
+            made.append((int(1000 * r.permutation(8)[0] + 10 * k + 100 * j), " ".join(own)))
+    made = list(dict(made).items())
+    sets = {d: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for d, t in made if (w := t.split())}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    close = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in close:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    bits = lambda a, b: ((simhash.fingerprint(dict(made)[a].encode()) ^ simhash.fingerprint(dict(made)[b].encode())) % (1 << 64)).bit_count()
+    assert sum(bits(a, b) > simhash.BITS for a, b in close) > 50
+    expected = sorted(d for d in root if root[d] == d)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, make(made), "").collect()) == expected
