@@ -474,6 +474,11 @@ def test_simhash(spark, make, odd):
     assert simhash.grouped(make([])).count() == 0
 
 
+def test_a_doc_id_that_heads_two_components(make):
+    kept = simhash.one_of_each(make([(1, "a b c"), (1, "x y z"), (5, "a b c"), (6, "x y z")]))
+    assert by_row(kept, "doc_id", "text") == [(1, "a b c"), (1, "x y z")]
+
+
 @pytest.mark.parametrize("paired", [simhash.PAIRED, 0])
 def test_links_are_whole(spark, paired):
     """Random prints with planted neighbours: the components of the links are those of all close pairs."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, text_bytes
 from .components import components
+from .near_copies import heads
 
 SEGMENTS, BITS = 8, 2
 WIDTH = 64 // SEGMENTS
@@ -72,6 +73,17 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     return pairs.select("u", "v").unionByName(stars).distinct()
 
 
+def _rooted(docs: DataFrame, shingle: int, paired: int) -> DataFrame:
+    """The rows of grouped() with root, a fingerprint of the component."""
+    rows = stored(fingerprints(docs, shingle), "simhash-prints")
+    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(links(prints.select("fp"), paired))
+    at = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = at.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = at.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
+
+
 def grouped(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, text_key, fp, component_id, the smallest doc_id that links reach.
 
@@ -79,21 +91,12 @@ def grouped(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFram
     doc_id take part, but give their component no id: it is null where all of its rows lack one. Repeated rows have a
     row each, with the same component. An empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, shingle), "simhash-prints")
-    prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(prints.select("fp"), paired))
-    at = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = at.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    return _rooted(docs, shingle, paired).drop("root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFrame:
     """Of each component, the document with the smallest doc_id, with the columns of docs. Rows without a doc_id stay."""
-    found = grouped(docs, shingle, paired).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.min("text_key").alias("__key"))
-    named = docs.where("doc_id is not null").withColumn("__row", F.xxhash64("text"))
-    kept = named.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__key")), "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return heads(docs, _rooted(docs, shingle, paired))
 
 
 def op10_simhash(spark, sf_dir):
