@@ -42,6 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of df by name, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that df has no column of."""
+    lead, taken = "__", {c.lower() for c in df.columns}
+    while any(lead + w in taken for w in wanted):
+        lead += "_"
+    return [lead + w for w in wanted]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding over a relational lattice of the corpus's distinct units.
 
-Text is normalised as the model says (identity, spaces shown as U+2581, one in front) and cut into units that no piece
-crosses. Each distinct unit is exploded into its substrings up to the longest piece; an equi-join to the piece table
-leaves the lattice's edges, which are grouped by unit and folded with a higher-order aggregate: Viterbi for unigram
-models (of paths with equal scores the one whose last pieces are longest). A BPE model's pieces are merge ranks, for which the best path is not what its encoder gives, so there the
+Text is normalised as the model says (identity, spaces shown as U+2581, one in front) and cut into units wherever two
+characters meet in no piece, so that no piece crosses a cut. Each distinct unit is exploded into its substrings up to
+the longest piece; an equi-join to the piece table leaves the lattice's edges, which are grouped by unit and folded
+with a higher-order aggregate: Viterbi for unigram models (of paths with equal scores the one whose last pieces are
+longest). A BPE model's pieces are merge ranks, for which the best path is not what its encoder gives, so there the
 fold merges the neighbouring edges with the best rank until none is left. Documents are then rewritten from the units'
 pieces: by a dictionary of bounded size, and by a join for units beyond it.
 """
@@ -13,17 +14,16 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections import Counter
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import freeing, slices, stored, table, text_or_empty
+from .common import freeing, own_columns, slices, stored, table, text_or_empty, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -34,9 +34,12 @@ UNKNOWN_PENALTY = 10.0  # an unknown character scores so much less than the wors
 
 FOLD_CHARS = 60  # cuts fit the bits of a number; longer units are folded one by one, in time n log n
 DICTIONARY_UNITS = 8_000_000  # about 20 bytes each
-SLICE_BYTES = 4_000_000  # of text that a worker encodes at a time
+SLICE_BYTES = 2_000_000  # of text that a worker cuts at a time
 PLAIN = 0x250  # ids of single characters below this code point are looked up by place, not by the join
-HELD_UNITS = 50_000  # units whose edges a task gathers by hash before it sorts them
+HELD_UNITS = 300_000  # units that a worker counts before it hands them on
+LATTICE_UNITS = 20_000  # units whose lattices one task explodes and folds
+#: A merge model's edge in one number, in the order of merging: rank, begin, length, whether it can come late, id.
+_RANK, _BEGIN, _LENGTH, _LATE = 34, 28, 22, 21
 
 
 def _fields(data: bytes):
@@ -115,17 +118,14 @@ class Model:
     def unknown(self) -> int:
         return next((i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN), 0)
 
-    def joined(self) -> str:
-        """A character class of what occurs in pieces of two characters or more, but for the space."""
-        return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted({c for p, _, k in self.pieces if k in (NORMAL, USER) and len(p) > 1 for c in p} - {SPACE})) + "]"
-
-    def bigrams(self) -> set[str]:
-        return {p[k : k + 2] for p in self.usable for k in range(len(p) - 1)}
-
-    def unit_pattern(self) -> re.Pattern:
-        """What finds runs of characters that pieces join; a run is cut further where its two characters meet in no piece."""
-        inside = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), self.joined())
-        return re.compile(f"{SPACE}*{inside}+|{SPACE}+|.", re.DOTALL)
+    @cached_property
+    def late(self) -> set[str]:
+        """Pieces that can still come about when all better ones have been tried: two parts join in them of which one ranks behind."""
+        rank = {p: -s for p, (_, s) in self.usable.items()}
+        before = float("-inf")  # single characters are there from the start
+        part = lambda p: before if len(p) == 1 else rank.get(p)
+        splits = lambda p: ((part(p[:k]), part(p[k:])) for k in range(1, len(p)))
+        return {p for p, r in rank.items() if any(a is not None and b is not None and max(a, b) >= r for a, b in splits(p))}
 
     def normalised(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
@@ -172,32 +172,84 @@ class Model:
         return ids
 
 
-def _cut(run: str, bigrams: set[str]) -> list[str]:
-    """A run's units: no piece has both characters at a cut."""
-    at = [k for k in range(1, len(run)) if run[k - 1 : k + 1] not in bigrams]
-    return [run[a:b] for a, b in zip([0, *at], [*at, len(run)], strict=True)] if at else [run]
+class Cutter:
+    """Cuts normalised texts into units, and hashes units, whole arrays of characters at a time."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        pairs = {p[k : k + 2] for p in model.usable for k in range(len(p) - 1)}
+        chars = sorted({c for x in pairs for c in x})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.meet = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for x, y in pairs:
+            self.meet[self.number[ord(x)], self.number[ord(y)]] = True
+        self.powers = np.ones(1, np.uint64)
+
+    def hashes(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the runs of characters that begin at starts and follow each other."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        if sizes.max() > len(self.powers):
+            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * int(sizes.max()), _BASE, np.uint64))])
+        x = (codes.astype(np.uint64) + np.uint64(1)) * _MIX1
+        x = (x ^ (x >> np.uint64(31))) * self.powers[np.arange(len(codes)) - np.repeat(starts, sizes)]
+        x = (np.add.reduceat(x, starts) + sizes.astype(np.uint64)) * _MIX2
+        return x ^ (x >> np.uint64(32))
+
+    def of_units(self, units: list[str]) -> np.ndarray:
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        return self.hashes(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes)
+
+    def __call__(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all texts normalised, where units start in it, their sizes, their hashes, for each text the edges of its units)."""
+        own = [self.model.normalised(x) for x in texts]
+        whole = "".join(own)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(x) for x in own], dtype=np.int64)
+        kinds = self.number[codes]
+        first = np.ones(len(codes) + 1, bool)
+        first[1:-1] = ~self.meet[kinds[:-1], kinds[1:]] if len(codes) else True
+        first[ends] = True
+        starts = np.flatnonzero(first[:-1])
+        sizes = np.diff(np.append(starts, len(codes)))
+        return whole, starts, sizes, self.hashes(codes, starts, sizes), np.searchsorted(starts, np.concatenate([[0], ends]))
+
+
+_BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def _units(docs: DataFrame, model: Model) -> DataFrame:
-    """unit, n: the distinct units of all texts and how often they occur, counted within each batch before the shuffle."""
-    pattern, bigrams = model.unit_pattern(), model.bigrams()
+    """unit, h, n: the distinct units of all texts, their hashes and how often they occur, counted within each task before the shuffle."""
 
     def run(batches):
+        cutter, held = Cutter(model), {}
+
+        def counted():
+            units = list(held)
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(cutter.of_units(units).view(np.int64)), pa.array(held.values(), pa.int64())], ["unit", "h", "n"])
+
         for batch in slices(batches, "text", SLICE_BYTES):
-            runs: Counter[str] = Counter()
-            for x in batch.column(0):
-                runs.update(pattern.findall(model.normalised(x.as_py())))
-            counts: dict[str, int] = {}
-            for text, n in runs.items():
-                for unit in _cut(text, bigrams):
-                    counts[unit] = counts.get(unit, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["unit", "n"])
+            whole, starts, sizes, hashes, _ = cutter(batch.column(0).to_pylist())
+            _, at, n = np.unique(hashes, return_index=True, return_counts=True)
+            for a, b, m in zip(starts[at].tolist(), (starts[at] + sizes[at]).tolist(), n.tolist(), strict=True):
+                unit = whole[a:b]
+                held[unit] = held.get(unit, 0) + m
+            if len(held) > HELD_UNITS:
+                yield counted()
+                held = {}
+        if held:
+            yield counted()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(freeing(run), "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text_or_empty().alias("text")).mapInArrow(freeing(run), "unit string, h bigint, n bigint").groupBy("unit").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 
 
 def _piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.usable.items()], "piece string, id int, score double")
+    """piece, id, score, and what a merge model's edges have in common: rank, late flag and id in their bits."""
+    place = {s: k for k, s in enumerate(sorted({s for _, s in model.usable.values()}, reverse=True))}
+    late = model.late if model.kind == BPE else set()
+    rows = [(p, i, float(s), place[s] << _RANK | (p in late) << _LATE | i) for p, (i, s) in model.usable.items()]
+    return spark.createDataFrame(rows, "piece string, id int, score double, bits bigint")
 
 
 def _let(value: Column, body) -> Column:
@@ -221,39 +273,58 @@ def _viterbi(edges: Column, n: Column, worst: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.get(best, n)["path"])
 
 
+def _bits(x: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int")
+
+
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
 def _merges(edges: Column, n: Column) -> Column:
-    """The (b, e) left when, again and again, the leftmost of the neighbours with the best-scored piece are joined.
+    """The (b, e) left when, again and again, the leftmost of the neighbours with the best-ranked piece are joined.
 
-    edges are sorted by score, best first, then by place. The state is the cuts still there, as bits, from 0 to n: an
-    edge joins neighbours if both its ends are cuts and one cut lies between. One pass in that order merges what can be
-    merged. It is what the encoder does unless a merge makes an edge possible whose turn is over: then the sign bit is
-    set, and the unit is folded by a search for the first possible edge at each step instead."""
-    late = F.lit(-(1 << 63)).cast("long")
+    edges are numbers, sorted: best rank first, then by place. The state is the cuts still there, as bits, from 0 to n:
+    an edge joins neighbours if both its ends are cuts and one cut lies between. One pass in that order merges what can
+    be merged. It is what the encoder does unless a merge makes an edge possible whose turn is over, as only late pieces
+    can be: then the sign bit is set, and the unit is folded by a search for the first possible edge at each step."""
+    over = F.lit(-(1 << 63)).cast("long")
     joins = lambda cuts, x: (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)
     without = lambda cuts, x: cuts.bitwiseAND(F.bitwise_not(x["inner"]))
-    earlier = lambda y, x: (y["rank"] < x["rank"]) | ((y["rank"] == x["rank"]) & (y["b"] < x["b"]))
+    begin = _power(n + 1) - 1
 
-    def once(cuts: Column, x: Column) -> Column:
-        marked = lambda c: F.when(F.exists(edges, lambda y: earlier(y, x) & joins(c, y)), c.bitwiseOR(late)).otherwise(c)
-        return F.when((x["inner"] != 0) & joins(cuts, x), _let(without(cuts, x), marked)).otherwise(cuts)
+    def opened(x: Column) -> Column:
+        masks = lambda at: F.struct(x.alias("x"), _power(at["b"]).bitwiseOR(_power(at["b"] + at["l"])).alias("ends"), (_power(at["b"] + at["l"]) - _power(at["b"] + 1)).alias("inner"))
+        return _let(F.struct(_bits(x, _BEGIN, _RANK - _BEGIN).alias("b"), _bits(x, _LENGTH, _BEGIN - _LENGTH).alias("l")), masks)
 
-    def searched(cuts: Column, _: Column) -> Column:
-        return F.aggregate(F.slice(F.filter(edges, lambda x: (x["inner"] != 0) & joins(cuts, x)), 1, 1), cuts, without)
+    def folded(own: Column) -> Column:
+        def once(cuts: Column, x: Column) -> Column:
+            marked = lambda c: F.when(F.exists(own["late"], lambda y: (y["x"] < x["x"]) & joins(c, y)), c.bitwiseOR(over)).otherwise(c)
+            return F.when(joins(cuts, x), _let(without(cuts, x), marked)).otherwise(cuts)
 
-    begin = F.expr("shiftleft(1L, length(unit) + 1) - 1")
-    slow = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, searched)
-    bits = _let(F.aggregate(edges, begin, once), lambda c: F.when(c < 0, slow).otherwise(c))
+        def searched(cuts: Column, _: Column) -> Column:
+            return F.aggregate(F.slice(F.filter(own["all"], lambda x: joins(cuts, x)), 1, 1), cuts, without)
+
+        slow = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, searched)
+        return _let(F.aggregate(own["all"], begin, once), lambda c: F.when(c < 0, slow).otherwise(c))
+
+    late = lambda own: F.struct(own.alias("all"), F.filter(own, lambda x: _bits(x["x"], _LATE, 1) == 1).alias("late"))
+    bits = _let(_let(F.transform(edges, opened), late), folded)
     cuts = _let(bits, lambda c: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(c, i) == 1))
     return _let(cuts, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda b, k: F.struct(b.alias("b"), F.get(c, k + 1).alias("e"))))
 
 
 def unit_pieces(units: DataFrame, model: Model) -> DataFrame:
-    """units(unit, n) -> unit, n, ids: the lattice of each unit, folded."""
+    """units(unit, h, n) -> unit, h, n, ids: the lattice of each unit, folded.
+
+    Units are dealt to tasks before they are exploded, so that edges are grouped where they arise and never shuffled."""
     spark = units.sparkSession
     most = max(len(p) for p in model.usable)
-    short = units.where(F.length("unit") <= FOLD_CHARS)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-units.count() // LATTICE_UNITS))
     substrings = (
-        short.withColumn("b", F.explode(F.expr("sequence(1, length(unit))")))
+        units.where(F.length("unit") <= FOLD_CHARS)
+        .repartition(tasks, "unit")
+        .withColumn("b", F.explode(F.expr("sequence(1, length(unit))")))
         .withColumn("l", F.explode(F.expr(f"sequence(1, least({most}, length(unit) - b + 1))")))
         .withColumn("piece", F.expr("substring(unit, b, l)"))
     )
@@ -261,11 +332,18 @@ def unit_pieces(units: DataFrame, model: Model) -> DataFrame:
     # a unigram model's fold needs the scores of single characters as well
     wanted = substrings if model.kind == UNIGRAM else substrings.where(f"l > 1 or b = 1 or ascii(piece) >= {PLAIN}")
     edges = wanted.join(F.broadcast(_piece_table(spark, model)), "piece", "left").where("id is not null or (l = 1 and b = 1)")
-    edge = F.struct((-F.col("score")).alias("rank"), (F.col("b") - 1).alias("b"), (F.col("b") - 1 + F.col("l")).alias("e"), "id", "score", F.expr("shiftleft(1L, b - 1) | shiftleft(1L, b - 1 + l)").alias("ends"), F.expr("shiftleft(1L, b - 1 + l) - shiftleft(1L, b)").alias("inner"))
-    lattice = edges.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
     length = F.length("unit")
-    worst = min(s for _, s in model.usable.values()) - UNKNOWN_PENALTY
-    path = _viterbi(F.col("edges"), length, worst) if model.kind == UNIGRAM else _merges(F.col("edges"), length)
+    if model.kind == UNIGRAM:
+        edge = F.struct((F.col("b") - 1).alias("b"), (F.col("b") - 1 + F.col("l")).alias("e"), "id", "score")
+        path = _viterbi(F.col("edges"), length, min(s for _, s in model.usable.values()) - UNKNOWN_PENALTY)
+        edge_id = lambda x: F.get(F.filter("edges", lambda y: (y["b"] == x["b"]) & (y["e"] == x["e"])), 0)["id"]
+    else:
+        edge = F.expr(f"bits | shiftleft(b - 1L, {_BEGIN}) | shiftleft(l + 0L, {_LENGTH})")
+        path = _merges(F.col("edges"), length)
+        place = F.lit((1 << _RANK) - (1 << _LENGTH)).cast("long")
+        at = lambda x: F.shiftleft(x["b"].cast("long"), _BEGIN).bitwiseOR(F.shiftleft((x["e"] - x["b"]).cast("long"), _LENGTH))
+        edge_id = lambda x: _let(at(x), lambda p: _bits(F.get(F.filter("edges", lambda y: y.bitwiseAND(place) == p), 0), 0, _LATE))
+    lattice = edges.groupBy("unit").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"))
     if model.bytes_fall_back:
         text = lambda x: F.hex(F.encode(F.col("unit").substr(x["b"] + 1, x["e"] - x["b"]), "utf-8"))
         codes = lambda h: F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda k: F.conv(F.substring(h, k, F.lit(2)), 16, 10).cast("int") + model.first_byte)
@@ -274,33 +352,21 @@ def unit_pieces(units: DataFrame, model: Model) -> DataFrame:
         spare = lambda x: F.array(F.lit(model.unknown))
     plain = F.array(*[F.lit(model.usable[chr(c)][0] if chr(c) in model.usable else None).cast("int") for c in range(PLAIN)])
     code = lambda x: F.ascii(F.col("unit").substr(x["b"] + 1, F.lit(1)))
-    edge_id = lambda x: F.get(F.filter("edges", lambda y: (y["b"] == x["b"]) & (y["e"] == x["e"])), 0)["id"]
     found = lambda x: F.when(x["e"] - x["b"] > 1, edge_id(x)).otherwise(_let(code(x), lambda c: F.when(c < PLAIN, F.get(plain, c)).otherwise(edge_id(x))))
     ids = F.flatten(F.transform(path, lambda x: _let(found(x), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(spare(x)))))
-    folded = lattice.select("unit", "n", ids.alias("ids"))
+    folded = lattice.select("unit", "h", "n", ids.alias("ids"))
 
     def run(batches):
         for batch in batches:
             ids = [model.long_unit(x.as_py()) for x in batch.column("unit")]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["unit", "n", "ids"])
-
-    return folded.unionByName(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(freeing(run), "unit string, n bigint, ids array<int>"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
-
-def _folded_units(docs: DataFrame, model: Model) -> DataFrame:
-    """unit_pieces() of all units of docs, stored; while that runs, edges are gathered by hash for up to HELD_UNITS units a task."""
-    conf, name = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = conf.get(name)
-    conf.set(name, str(HELD_UNITS))
-    try:
-        return stored(unit_pieces(stored(_units(docs, model), "units"), model), "pieces")
-    finally:
-        conf.set(name, before)
+    return folded.unionByName(units.where(F.length("unit") > FOLD_CHARS).mapInArrow(freeing(run), "unit string, h bigint, n bigint, ids array<int>"))
 
 
 def _dictionary(pieces: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Hashes of up to bound of the most frequent units, sorted, with the place and ids of each; whether it has them all."""
-    named = pieces.select(F.xxhash64("unit").alias("h"), "n", "unit", "ids")
+    named = pieces
     whole = named.count() <= bound
     if not whole:
         named = named.orderBy(F.desc("n"), "unit").limit(bound)
@@ -332,77 +398,67 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
     """
     model = model or Model.load()
     docs = docs.drop("ids", "n_units")
-    pieces = _folded_units(docs, model)
+    pieces = stored(unit_pieces(stored(_units(docs, model), "units"), model), "pieces")
     hashes, places, values, whole = _dictionary(pieces, dictionary_units)
     sent = docs.sparkSession.sparkContext.broadcast((hashes, places, values))
-    pattern, bigrams = model.unit_pattern(), model.bigrams()
-    rows = docs.withColumn("__text", text_or_empty())
+    key, text, rare, other_id, other_key = unused(docs, "key", "text", "rare", "id", "other")
 
-    def looked_up(units: list[str]) -> np.ndarray:
-        """Places in the dictionary, -1 where it lacks the unit."""
+    def looked_up(h: np.ndarray) -> np.ndarray:
+        """Places in the dictionary, -1 where it lacks the hash."""
         known = sent.value[0]
-        h = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).view(np.int64)
-        at = np.searchsorted(known, h)
-        return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h), at, -1) if len(known) else np.full(len(units), -1)
+        at = np.searchsorted(known, h.view(np.int64))
+        return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h.view(np.int64)), at, -1) if len(known) else np.full(len(h), -1)
 
-    if not whole:
-        keyed = docs.select("doc_id", F.xxhash64("text").alias("__key"), text_or_empty().alias("text"))
+    rows = docs.withColumn(text, text_or_empty())
+    if whole:
+        rows = rows.withColumn(rare, F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
+    else:
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), text_or_empty().alias("text"))
 
         def missing(batches):
-            for batch in batches:
-                places, found = [], []
-                for k, x in enumerate(batch.column("text")):
-                    units = list({u for r in set(pattern.findall(model.normalised(x.as_py()))) for u in _cut(r, bigrams)})
-                    lacking = [u for u, at in zip(units, looked_up(units).tolist(), strict=True) if at < 0]
-                    places += [k] * len(lacking)
-                    found += lacking
-                at = pa.array(places, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("__key").take(at), pa.array(found, pa.string())], ["doc_id", "__key", "unit"])
-
-        rare = keyed.mapInArrow(freeing(missing), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __key bigint, unit string").distinct()
-        rare = rare.join(pieces, "unit").groupBy("doc_id", "__key").agg(F.collect_list(F.struct("unit", "ids")).alias("__rare")).withColumnsRenamed({"doc_id": "__id", "__key": "__k"})
-        rows = rows.withColumn("__key", F.xxhash64("text")).join(rare, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left").drop("__id", "__k", "__key")
-    else:
-        rows = rows.withColumn("__rare", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
+            cutter = Cutter(model)
+            for batch in slices(batches, "text", SLICE_BYTES):
+                own, starts, sizes, h, edges = cutter(batch.column("text").to_pylist())
+                lacking = np.flatnonzero(looked_up(h) < 0)
+                at = pa.array(np.searchsorted(edges, lacking, "right") - 1, pa.int64())
+                units = [own[a:b] for a, b in zip(starts[lacking].tolist(), (starts + sizes)[lacking].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(units, pa.string())], ["doc_id", "key", "unit"])
+
+        more = keyed.mapInArrow(freeing(missing), StructType([*keyed.schema.fields[:2], StructField("unit", StringType())])).distinct()
+        more = more.join(pieces.select("unit", "ids"), "unit").groupBy(F.col("doc_id").alias(other_id), F.col("key").alias(other_key)).agg(F.collect_list(F.struct("unit", "ids")).alias(rare))
+        rows = rows.withColumn(key, F.xxhash64("text")).join(more, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left")
 
     def run(batches):
         _, places, values = sent.value
-        for batch in slices(batches, "__text", SLICE_BYTES):
-            runs: dict[str, int] = {}
-            numbers, counts, local = [], [], {}
-            for x, rare in zip(batch.column("__text"), batch.column("__rare"), strict=True):
-                found = pattern.findall(model.normalised(x.as_py()))
-                numbers += [runs.setdefault(r, len(runs)) for r in found]
-                counts.append(len(found))
-                for more in rare.as_py() or ():
-                    local[more["unit"]] = more["ids"]
-            units = [_cut(r, bigrams) for r in runs]
-            index: dict[str, int] = {}
-            of_run = np.array([index.setdefault(u, len(index)) for own in units for u in own], np.int64)
-            at = looked_up(list(index))
-            extra, extra_at = [], len(values)
-            starts, sizes = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
+        cutter = Cutter(model)
+        for batch in slices(batches, text, SLICE_BYTES):
+            own, starts, sizes, h, edges = cutter(batch.column(text).to_pylist())
+            distinct, first, number = np.unique(h, return_index=True, return_inverse=True)
+            at = looked_up(distinct)
+            begins, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             if len(places):
-                starts[:], sizes[:] = places[at, 0], places[at, 1]
-            for unit, k in index.items():
-                if at[k] < 0:
-                    starts[k], sizes[k] = extra_at + len(extra), len(local[unit])
-                    extra += local[unit]
-            pool = np.concatenate([values, np.array(extra, np.int32)]) if extra else values
-            # from here on by run: the ids of its units, one after the other
-            pool = _gathered(pool, starts[of_run], sizes[of_run])
-            edges = np.concatenate([[0], np.cumsum([len(own) for own in units], dtype=np.int64)])
-            sums = np.concatenate([[0], np.cumsum(sizes[of_run])])[edges]
-            starts, sizes = sums[:-1], np.diff(sums)
-            numbers = np.array(numbers, np.int64)
-            ids, edges = [], np.concatenate([[0], np.cumsum(counts)])
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                ids.append(_gathered(pool, starts[numbers[a:b]], sizes[numbers[a:b]]).astype("<i4").tobytes())
-            names = [c for c in batch.schema.names if not c.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.binary()), pa.array(counts, pa.int64())], [*names, "ids", "n_units"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.select(*docs.columns, "__text", "__rare").mapInArrow(freeing(run), f"{schema}, ids binary, n_units bigint")
+                begins[:], counts[:] = places[at, 0], places[at, 1]
+            pool, lacking = values, np.flatnonzero(at < 0)
+            if len(lacking):
+                # hashes that the dictionary lacks are looked up by the unit itself, at each of its places
+                local = {x["unit"]: x["ids"] for row in batch.column(rare).to_pylist() for x in row or ()}
+                alone = np.flatnonzero(np.isin(number, lacking))
+                units = [own[a:b] for a, b in zip(starts[alone].tolist(), (starts + sizes)[alone].tolist(), strict=True)]
+                extra = {u: k for k, u in enumerate(dict.fromkeys(units))}
+                own_sizes = np.array([len(local[u]) for u in extra], np.int64)
+                own_begins = len(values) + np.cumsum(own_sizes) - own_sizes
+                pool = np.concatenate([values, np.array([i for u in extra for i in local[u]], np.int32)])
+                places_of = np.fromiter((extra[u] for u in units), np.int64, len(units))
+            begins, counts = begins[number], counts[number]
+            if len(lacking):
+                begins[alone], counts[alone] = own_begins[places_of], own_sizes[places_of]
+            ids = _gathered(pool, begins, counts).astype("<i4")
+            ends = np.concatenate([[0], np.cumsum(counts)])[edges] * 4
+            column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(docs_schema)], column, pa.array(np.diff(edges), pa.int64())], [*docs_schema.names, "ids", "n_units"])
+
+    docs_schema = docs.schema
+    return rows.select(*own_columns(docs), F.col(text), F.col(rare)).mapInArrow(freeing(run), StructType([*docs_schema.fields, StructField("ids", BinaryType()), StructField("n_units", LongType())]))
 
 
 def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
@@ -419,11 +475,11 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
                 texts.append(data[prefix:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(freeing(run), f"{schema}, decoded string")
+    return encoded.mapInArrow(freeing(run), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def op3_pieces(spark, sf_dir):
+    """Every text encoded with the public 32,000-piece model, whose lattice is folded by merges, decoded again and compared."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decode(encode(docs).withColumn("shown", F.sha2(F.replace(text_or_empty(), F.lit(SPACE), F.lit(" ")), 256)).drop("text"))
     return found.select("doc_id", "n_units", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("shown")).alias("round_trip"))
