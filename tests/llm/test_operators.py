@@ -36,7 +36,6 @@ def test_language_model(make, odd, monkeypatch):
     r = np.random.default_rng(0)
     kinds = [[f"{p}{k}" for k in range(12)] for p in "xy"]
     made = [(100 + k, " ".join(r.choice(kinds[k % 2], 60))) for k in range(160)] + odd
-    monkeypatch.setattr(language_model, "SHARE", 3)
     held = {d: zlib.crc32(str("" if d is None else d).encode()) % 7 == 2 for d, _ in made}
     count = collections.Counter()
     for d, t in made:
@@ -278,22 +277,25 @@ def test_warc(spark):
 # lines
 
 
-def near_lines(a, b):
-    if abs(len(a) - len(b)) > 1:
+def near_lines(a, b, threshold):
+    """Whether two lines are within threshold edits, by the table of all prefixes."""
+    if abs(len(a) - len(b)) > threshold:
         return False
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
-    short, long = sorted((a, b), key=len)
-    return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1] <= threshold
 
 
-def brute_lines(made):
+def brute_lines(made, threshold=lines.THRESHOLD):
     first = {}
     for d, t in sorted(made, key=lambda x: (x[0] is not None, x[0] or 0)):
         for i, x in enumerate((t or "").split("\n")):
             first.setdefault(x, (d is not None, d or 0, i))
     distinct = [x for x in first if len(x) >= lines.NEAR_CHARS and words(x)]
-    later = {max(a, b, key=first.get) for a, b in itertools.combinations(distinct, 2) if near_lines(a, b)}
+    later = {max(a, b, key=first.get) for a, b in itertools.combinations(distinct, 2) if near_lines(a, b, threshold)}
     out = []
     for d, t in made:
         kept, exact, near = [], 0, 0
@@ -308,8 +310,8 @@ def brute_lines(made):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("paired", [lines.PAIRED, 1])
-def test_lines(make, odd, paired):
+@pytest.mark.parametrize(("paired", "threshold"), [(lines.PAIRED, 1), (1, 1), (1, 2), (1, 3)])
+def test_lines(make, odd, paired, threshold):
     r = np.random.default_rng(4)
     base = ["the quick brown fox jumps over \U0001f600", "lorem ipsum dolor sit amet elit", "0123456789012345678901234567"]
     made = [x for x in odd if len(x[1] or "") < 5000 and x != (None, "a b c")]
@@ -317,27 +319,43 @@ def test_lines(make, odd, paired):
         text = []
         for _ in range(4):
             x = base[r.integers(0, 3)]
-            for _ in range(r.integers(0, 3)):
+            for _ in range(r.integers(0, 2 + threshold)):
                 at = int(r.integers(0, len(x)))
                 x = x[:at] + ["", "z", x[at] + "é"][r.integers(0, 3)] + x[at + 1 :]
             text.append(x)
         made.append((100 + k, "\n".join(text)))
-    found = lines.without_repeats(make(made), paired)
-    assert by_row(found, "doc_id", "n_exact", "n_near", "kept") == brute_lines(made)
+    found = lines.without_repeats(make(made), paired, threshold)
+    assert by_row(found, "doc_id", "n_exact", "n_near", "kept") == brute_lines(made, threshold)
     docs = make(made)
-    short = lines.shortened(docs, paired)
+    short = lines.shortened(docs, paired, threshold)
     assert short.columns == docs.columns
+    assert by_row(short.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text") == sorted(((d, t) for d, _, _, t in brute_lines(made, threshold) if words(t) or not words(dict(made)[d])), key=repr)
     assert lines.without_repeats(make([])).count() == 0
 
 
-def test_within_one_edit(spark):
+def test_many_lines_and_long_ones(make):
+    """A text of very many lines, and very many long lines that share their halves."""
+    r = np.random.default_rng(11)
+    same = lines.without_repeats(make([(1, "\n".join(["a line that is there again and again"] * 400_000))])).first()
+    assert (same["n_lines"], same["n_exact"], same["kept"]) == (400_000, 399_999, "a line that is there again and again")
+    long = "".join(r.choice(list("abcdefgh "), 40_000))
+    made = [(1, long)]
+    for k in range(2, 72):
+        at = int(r.integers(0, 20_000))
+        made.append((k, long[:at] + ["", "z", long[at] + "é", f"{k}{k + 1}"][k % 4] + long[at + 1 :]))
+    found = {x["doc_id"]: x["n_near"] for x in lines.without_repeats(make(made)).collect()}
+    assert found == {k: int(k > 1 and k % 4 != 3) for k, _ in made}
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_within_edits(spark, threshold):
     r = np.random.default_rng(6)
     pairs = [("", "a"), ("a", "a"), ("ab", "ba"), ("\U0001f600b", "\U0001f601b"), ("abc", "abcd"), ("abc", "xabc"), ("abc", "axbc")]
     for _ in range(300):
-        a = "".join(r.choice(list("ab"), r.integers(1, 9)))
-        pairs.append((a, "".join(r.choice(list("ab"), len(a) + r.integers(0, 2)))))
+        a = "".join(r.choice(list("ab"), r.integers(1, 12)))
+        pairs.append((a, "".join(r.choice(list("ab"), len(a) + r.integers(0, threshold + 1)))))
     pairs = [(a, b) for a, b in pairs if a]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.within_one_edit(F.col("a"), F.col("b")).alias("x"), (F.levenshtein("a", "b") <= 1).alias("y")).collect()
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.within_edits(F.col("a"), F.col("b"), threshold).alias("x"), (F.levenshtein("a", "b") <= threshold).alias("y")).collect()
     assert [x for x in rows if x["x"] != x["y"]] == []
 
 

@@ -2,9 +2,10 @@
 
 Words are counted over all training documents. The most frequent ones are the network's own vocabulary, in classes of
 CLASS_WORDS by rank; every other word belongs to a class by its last bytes, within which it has its add-one share of
-the training count. Training goes in rounds over shares of the documents chosen by hash: each partition runs truncated
-backpropagation over windows of its documents from the round's parameters, and the results are averaged by a tree of
-sums, weighted by tokens. Scoring packs whole documents into lanes and carries the state from window to window.
+the training count. Training goes in rounds over shares of the documents chosen by hash, which together are all of
+them: each partition runs truncated backpropagation over windows of its documents from the round's parameters, and the
+results are averaged by a tree of sums, weighted by tokens. Training and scoring pack whole documents into lanes and
+carry the state from window to window; only the gradient stops at a window's begin.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_bytes
+from .common import slices, stored, table, text_or_empty
 
 END = b" "  # no word: words hold no space
 HEAD, CLASS_WORDS, TAIL_CLASSES, HIDDEN = 2048, 64, 64, 24
 ROUNDS = 3
 SHARE = ROUNDS  # each round takes one in SHARE training documents, another share each time: together they take all
-TRAIN_LANES, TRAIN_WINDOW, SCORE_LANES, SCORE_WINDOW = 64, 16, 256, 32
-TRAIN_PART = 512
+#: A window has WINDOW tokens, or as many as LONGEST steps give: at most LANES documents side by side, fewer where
+#: that leaves UPDATES windows a slice, or where the longest document would go on alone.
+WINDOW, LANES, STEPS, LONGEST, UPDATES = 8192, 512, 16, 256, 64
 SLICE_BYTES = 6_000_000  # of text that a worker packs into lanes at a time
 LONG_BYTES = 24_000  # longer texts are packed with each other, so that few lanes don't go on alone
 RATE = 0.01
+HELD_WORDS = 1_000_000  # that a worker counts before it hands them on
 KNOWN_WORDS = 1_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
 SEED = 11
 
@@ -131,8 +134,21 @@ def _grid(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, n
     return target, inputs, (inputs != 0).astype(np.float32), doc, np.cumsum(active)[:-1]
 
 
+def _windows(docs: list[np.ndarray], lanes: int):
+    """The windows of documents packed into lanes: (inputs, go on, targets that count, which those are, their document, lanes)."""
+    target, inputs, go_on, doc, active = _grid(docs, lanes)
+    t = 0
+    while t < len(target):
+        n = int(active[t])
+        steps = min(LONGEST, max(STEPS, WINDOW // n))
+        at = slice(t, t + steps), slice(0, n)
+        live = (np.arange(n)[None, :] < active[t : t + steps, None]).ravel()
+        yield inputs[at], go_on[at], target[at].ravel()[live], live, doc[at].ravel()[live], n
+        t += steps
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _centred(logits: np.ndarray, spread: float, top: float) -> np.ndarray:
@@ -246,41 +262,46 @@ class Adam:
 
 
 def train(network: Network, adam: Adam, docs: list[np.ndarray]) -> int:
-    """Truncated backpropagation over all tokens in lanes; returns the tokens seen. Long documents are trained on in parts
-    of TRAIN_PART tokens, so that all lanes are busy until the end."""
-    parts = [d[k : k + TRAIN_PART] for d in docs for k in range(0, len(d), TRAIN_PART)]
-    target, inputs, go_on, _, active = _grid(parts, TRAIN_LANES)
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for t in range(0, len(target), TRAIN_WINDOW):
-        n = active[t]
-        at = slice(t, t + TRAIN_WINDOW), slice(0, n)
-        live = (np.arange(n)[None, :] < active[t : t + TRAIN_WINDOW, None]).ravel()
+    """Truncated backpropagation over all tokens, whole documents in lanes; returns the tokens seen."""
+    total, longest = sum(map(len, docs)), max(map(len, docs), default=1)
+    h = np.zeros((LANES, HIDDEN), np.float32)
+    for inputs, go_on, target, live, _, n in _windows(docs, max(1, min(LANES, total // (STEPS * UPDATES) + 1, -(-total // longest)))):
         kept: list = []
         grads = {k: np.zeros_like(x) for k, x in network.p.items()}
-        states, h = network.states(inputs[at], go_on[at], h[:n], kept)
+        states, h = network.states(inputs, go_on, h[:n], kept)
         flat = states.reshape(-1, HIDDEN)
         slope = np.zeros_like(flat)
-        slope[live] = network.losses(flat[live], target[at].ravel()[live], grads)[1]
-        network.back(inputs[at], go_on[at], kept, slope.reshape(states.shape), grads)
-        adam.step(grads, max(1, int(live.sum())))
-    return sum(map(len, docs))
+        slope[live] = network.losses(flat[live], target, grads)[1]
+        network.back(inputs, go_on, kept, slope.reshape(states.shape), grads)
+        adam.step(grads, len(target))
+    return total
 
 
 def score(network: Network, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document, of the class alone for tail words; states go on from window to window."""
-    target, inputs, go_on, doc, active = _grid(docs, SCORE_LANES)
     out = np.zeros(len(docs))
-    h = np.zeros((target.shape[1], HIDDEN), np.float32)
-    for t in range(0, len(target), SCORE_WINDOW):
-        n = active[t]
-        at = slice(t, t + SCORE_WINDOW), slice(0, n)
-        live = (np.arange(n)[None, :] < active[t : t + SCORE_WINDOW, None]).ravel()
-        states, h = network.states(inputs[at], go_on[at], h[:n])
-        found = network.losses(states.reshape(-1, HIDDEN)[live], target[at].ravel()[live])[0]
-        out += np.bincount(doc[at].ravel()[live], found.astype(np.float64), len(docs))
+    h = np.zeros((LANES, HIDDEN), np.float32)
+    longest = max(map(len, docs), default=1)
+    for inputs, go_on, target, live, doc, n in _windows(docs, max(1, min(LANES, -(-sum(map(len, docs)) // longest)))):
+        states, h = network.states(inputs, go_on, h[:n])
+        found = network.losses(states.reshape(-1, HIDDEN)[live], target)[0]
+        out += np.bincount(doc, found.astype(np.float64), len(docs))
     return out / np.log(10)
 
 
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts as (number of each word, distinct words, edges of the texts); the number behind the last word's is for the end that each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = split.flatten()
+    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    offsets = split.offsets.to_numpy()
+    edges = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    numbers = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(words))
+    return numbers, words, edges + np.arange(len(edges))
+
+
 def _by_length(batches):
     """Slices of texts of like length: long ones are held back until there are SLICE_BYTES of them."""
     held, size = [], 0
@@ -303,15 +324,24 @@ def held_out() -> Column:
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """word, c over texts(text), the ends included; counted within each batch before the shuffle."""
+    """word, c over texts(text), the ends included; counted within each task before the shuffle."""
 
     def run(batches):
+        held: list[pa.Table] = []
+
+        def summed():
+            table = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
+            return pa.table([table.column("word"), table.column("c_sum")], ["word", "c"])
+
         for batch in slices(batches, "text", SLICE_BYTES):
-            counts: dict[bytes, int] = {END: batch.num_rows}
-            for x in batch.column(0):
-                for w in x.as_py().lower().split():
-                    counts[w] = counts.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+            numbers, words, _ = _tokens(batch.column(0))
+            held.append(pa.table([pa.array([*words, END], pa.binary()), pa.array(np.bincount(numbers, minlength=len(words) + 1))], ["word", "c"]))
+            if sum(map(len, held)) > HELD_WORDS:
+                held = [summed()]
+                if len(held[0]) > HELD_WORDS // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
@@ -356,9 +386,10 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             network, numbers, seen = Network(parameters, len(vocabulary.head)), _Numbers(vocabulary), 0
             adam = Adam(parameters)
             for batch in _by_length(batches):
-                docs = [np.array([*map(numbers.__getitem__, x.as_py().lower().split()), 0], np.int32) for x in batch.column("text")]
-                if docs:
-                    seen += train(network, adam, docs)
+                flat, words, edges = _tokens(batch.column("text"))
+                flat = np.fromiter(map(numbers.__getitem__, [*words, END]), np.int32, len(words) + 1)[flat]
+                if batch.num_rows:
+                    seen += train(network, adam, np.split(flat, edges[1:-1]))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_packed(parameters)], pa.binary())], ["n", "parameters"])
 
@@ -375,9 +406,10 @@ def scored(docs: DataFrame) -> DataFrame:
 
     A null text is empty: it has the end alone. Null doc_ids count as the empty text for the split. Texts of any length
     are scored whole. Repeated rows count each time and score alike. An empty table gives no rows; without training
-    documents all words are unknown.
+    documents all words are unknown. All but score depends on the rows alone; score depends on how they are partitioned
+    as well, as each partition trains a copy of the network.
     """
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
+    rows = docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
     learnt = rows.where(~F.col("held_out"))
     counts = stored(_counts(learnt.select("text")), "lm-counts")
     n_all, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -396,29 +428,22 @@ def scored(docs: DataFrame) -> DataFrame:
         network, numbers, head = Network(parameters, len(vocabulary.head)), _Numbers(vocabulary), len(vocabulary.head)
         share = np.log10(vocabulary.tail_counts + vocabulary.tail_words + 1.0)
         for batch in _by_length(batches):
-            index: dict[bytes, int] = {}
-            flat, lengths = [], []
-            for x in batch.column("text"):
-                words = x.as_py().lower().split()
-                flat += [index.setdefault(w, len(index)) for w in words]
-                flat.append(index.setdefault(END, len(index)))
-                lengths.append(len(words) + 1)
-            if not lengths:
+            if not batch.num_rows:
                 continue
-            own = list(index)
+            flat, own, edges = _tokens(batch.column("text"))
+            own.append(END)
+            lengths = np.diff(edges)
             number = np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)).view(np.int64)
             at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
             found = (hashes[at] == h) if len(hashes) else np.zeros(len(own), bool)
             c = np.where(found, sizes[at] if len(hashes) else 0, 0)
-            flat = np.array(flat, np.int64)
-            edges = np.concatenate([[0], np.cumsum(lengths)])
             number_flat = number[flat]
             doc = np.repeat(np.arange(len(lengths)), lengths)
             per_doc = lambda x: np.bincount(doc, x, len(lengths))
             logs, tail = np.log10(c + 1.0)[flat], number_flat >= head
             lost = np.where(tail, share[np.where(tail, number_flat - head, 0)], 0.0)
-            network_score = score(network, [number_flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            network_score = score(network, np.split(number_flat, edges[1:-1]))
             rare = np.flatnonzero(~found[flat])
             rare_edges = np.searchsorted(rare, edges)
             rare_words = pa.array([own[k] for k in flat[rare].tolist()], pa.binary())
