@@ -162,6 +162,8 @@ def test_pieces_of_a_merge_model(make, odd, library, bound):
     found = pieces.decode(pieces.encode(make(made), dictionary_units=bound)).collect()
     assert sorted(((r["doc_id"], bytes(r["ids"])) for r in found), key=repr) == sorted(((d, packed(library.encode(t or ""))) for d, t in made), key=repr)
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in found)
+    at_once = pieces.encode(make(made), dictionary_units=bound, decoded=True)
+    assert sorted(map(repr, at_once.collect())) == sorted(map(repr, found))
     assert pieces.encode(make([])).count() == 0
 
 

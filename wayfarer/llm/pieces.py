@@ -34,9 +34,9 @@ UNKNOWN_PENALTY = 10.0  # an unknown character scores so much less than the wors
 
 FOLD_CHARS = 60  # cuts fit the bits of a number; longer units are folded one by one, in time n log n
 DICTIONARY_UNITS = 8_000_000  # about 20 bytes each
-SLICE_BYTES = 2_000_000  # of text that a worker cuts at a time
+SLICE_BYTES = 1_000_000  # of text that a worker cuts at a time
 PLAIN = 0x250  # ids of single characters below this code point are looked up by place, not by the join
-HELD_UNITS = 300_000  # units that a worker counts before it hands them on
+HELD_UNITS = 100_000  # units that a worker counts before it hands them on
 LATTICE_UNITS = 20_000  # units whose lattices one task explodes and folds
 #: A merge model's edge in one number, in the order of merging: rank, begin, length, whether it can come late, id.
 _RANK, _BEGIN, _LENGTH, _LATE = 34, 28, 22, 21
@@ -390,14 +390,16 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return pool[np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)]
 
 
-def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int = DICTIONARY_UNITS) -> DataFrame:
+def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int = DICTIONARY_UNITS, decoded: bool = False) -> DataFrame:
     """docs(doc_id, text) with ids, the text's piece ids as little-endian 32-bit numbers, and n_units; other columns stay.
 
     A null or empty text has no pieces; a literal U+2581 is read as a space, as the model does. Repeated rows have a row
-    each. An empty table gives no rows. Columns named ids or n_units are replaced.
+    each. An empty table gives no rows. Columns named ids or n_units are replaced. With decoded, the ids are decoded
+    again by the same workers, as decode() does.
     """
     model = model or Model.load()
-    docs = docs.drop("ids", "n_units")
+    docs = docs.drop("ids", "n_units", "decoded")
+    back = _decoder(model) if decoded else iter
     pieces = stored(unit_pieces(stored(_units(docs, model), "units"), model), "pieces")
     hashes, places, values, whole = _dictionary(pieces, dictionary_units)
     sent = docs.sparkSession.sparkContext.broadcast((hashes, places, values))
@@ -458,12 +460,12 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(docs_schema)], column, pa.array(np.diff(edges), pa.int64())], [*docs_schema.names, "ids", "n_units"])
 
     docs_schema = docs.schema
-    return rows.select(*own_columns(docs), F.col(text), F.col(rare)).mapInArrow(freeing(run), StructType([*docs_schema.fields, StructField("ids", BinaryType()), StructField("n_units", LongType())]))
+    more = [StructField("ids", BinaryType()), StructField("n_units", LongType()), StructField("decoded", StringType())][: 2 + decoded]
+    return rows.select(*own_columns(docs), F.col(text), F.col(rare)).mapInArrow(freeing(lambda batches: back(run(batches))), StructType([*docs_schema.fields, *more]))
 
 
-def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
-    """encoded(ids, ...) with decoded, the text that ids stand for; null ids are empty, bytes that are no UTF-8 become U+FFFD."""
-    model = model or Model.load()
+def _decoder(model: Model):
+    """What adds decoded to batches with ids."""
     parts = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in model.pieces]
     prefix = int(model.prefix)
 
@@ -475,11 +477,17 @@ def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
                 texts.append(data[prefix:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(freeing(run), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return run
+
+
+def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
+    """encoded(ids, ...) with decoded, the text that ids stand for; null ids are empty, bytes that are no UTF-8 become U+FFFD."""
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(freeing(_decoder(model or Model.load())), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 
 
 def op3_pieces(spark, sf_dir):
     """Every text encoded with the public 32,000-piece model, whose lattice is folded by merges, decoded again and compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode(encode(docs).withColumn("shown", F.sha2(F.replace(text_or_empty(), F.lit(SPACE), F.lit(" ")), 256)).drop("text"))
-    return found.select("doc_id", "n_units", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("shown")).alias("round_trip"))
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
+    shown = F.replace(text_or_empty(), F.lit(SPACE), F.lit(" "))
+    return found.select("doc_id", "n_units", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == shown).alias("round_trip"))
