@@ -2,9 +2,10 @@
 
 A window of 50 words holds 26 anchors of 25 words; the one with the smallest hash is its seed, so equal windows have
 equal seeds. Seeds that occur in different texts are found by one aggregation. Around those alone the extension goes
-both ways: every window that has the seed is hashed, and the smallest document that holds it is an aggregated minimum,
-so a seed with any number of documents is extended against all of them at once and no pairs are made. Windows that a
-smaller document also has are merged to maximal repeats.
+both ways, up to the window's width: every window that has the seed is hashed, and the smallest document that holds it
+is an aggregated minimum, so a seed with any number of documents is extended against all of them at once. No two
+documents are aligned word by word and no pairs are made: a match longer than a window is a chain of seeds, each
+extended on its own, whose windows are merged to the maximal repeat. Exact copies of a text are found by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -140,10 +141,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         return rolling.runs(window)[found], (rolling.runs(window, True)[found] >> np.uint64(32)).astype(np.uint32).view(np.int32), found, state[seed][found]
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
-    keys = texts.select("doc_id", "text_key")
-    first = keys.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    several = first.where("n > 1").select("text_key", "first")
-    copies = keys.join(several, "text_key").where("doc_id > first").select("doc_id", "text_key").distinct()
+    keys = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(7), "text").alias("key2"))
+    first = keys.groupBy("text_key", "key2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    several = stored(first.where("n > 1").select("text_key", "key2", "first"), "substring-several")
+    copies = keys.join(several, ["text_key", "key2"]).where("doc_id > first").select("doc_id", "text_key").distinct()
     anchors = stored(_each(texts, "anchor bigint, place int", seeds), "substring-anchors")
     # minima are stored before they are joined back: a join that reads an aggregation can't split an anchor or window with very many rows
     shared = anchors.groupBy("anchor").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.min("doc_id").alias("least")).where("a <> b")
