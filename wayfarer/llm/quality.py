@@ -1,20 +1,24 @@
 """Quality rules: counts of every whole text, and robust multivariate outliers within language and source.
 
 The counts become a vector of transformed statistics. For each (language, source), each language, and all documents,
-the location and scatter of the 75 % of vectors that lie closest together are estimated by concentration steps of the
-minimum covariance determinant; every step is one aggregation over all vectors, so no group is ever gathered. A
-document is judged by the smallest pool that has min_pool vectors, and rejected beyond a Mahalanobis distance.
+the minimum covariance determinant is sought: the location and scatter of the 75 % of vectors that lie closest
+together. Several starts (medians and quartiles, all vectors, two shares drawn by hash) go through concentration steps
+until no determinant shrinks any more, and the estimate with the smallest determinant is taken; every step is one
+aggregation over all vectors, so no group is ever gathered. A document is judged by the smallest pool that has min_pool
+vectors, and rejected beyond a Mahalanobis distance.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_bytes
+from .common import forget, own_columns, stored, table, text_bytes, unused
 
 #: (transformed statistic, least standard deviation: what differs by less is never an outlier for it)
 STATISTICS = (
@@ -26,12 +30,28 @@ STATISTICS = (
 )
 P = len(STATISTICS)
 HALF_CHI2 = 4.3515  # median of chi-squared with 5 degrees of freedom
-COVER, STEPS, BINS, FIXED_POINT = 0.75, 4, 16, 1024
-CUTOFF = 75.0
-MIN_POOL = 200
+COVER, STEPS, BINS, FIXED_POINT = 0.75, 12, 16, 1024  # STEPS: the most; they end when no determinant shrinks by TOLERANCE
+TOLERANCE = 0.001
+SHARES = (101, 102)  # seeds of the shares of vectors that starts are drawn from, one in SHARE_OF
+SHARE_OF = 8
+FALSE_REJECTION = 1e-14  # of vectors whose statistics are normal: under one in the largest corpora
+MIN_POOL = 6 * P  # twice the fifteen entries of a scatter matrix
 SYMBOLS = b"#*$%&|<>"
 
 
+def cutoff_for(share: float) -> float:
+    """The squared distance that a share of chi-squared values with 5 degrees of freedom exceeds."""
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        x = (low + high) / 2
+        beyond = math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+        low, high = (x, high) if beyond > share else (low, x)
+    return low
+
+
+CUTOFF = cutoff_for(FALSE_REJECTION)  # 74.9
+
+
 def _repeat_words(words: list[bytes]) -> int:
     """Words in 3-word windows that are found twice or more."""
     n = len(words)
@@ -89,7 +109,7 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
 def _estimate(n: pd.Series, sums: pd.Series) -> pd.DataFrame:
-    """Mean and inverse scatter from the count and the sums of x and of x x', both in fixed point."""
+    """Mean, inverse scatter and log determinant from the count and the sums of x and of x x', both in fixed point."""
     floor = np.diag([s * s for _, s in STATISTICS])
     rows = []
     for count, s in zip(n, sums, strict=True):
@@ -98,9 +118,9 @@ def _estimate(n: pd.Series, sums: pd.Series) -> pd.DataFrame:
         second = np.zeros((P, P))
         for k, (i, j) in enumerate(_PAIRS):
             second[i, j] = second[j, i] = s[P + k] / FIXED_POINT**2 / max(count, 1)
-        inverse = np.linalg.inv(second - np.outer(mean, mean) + floor)
-        rows.append((mean.tolist(), inverse.ravel().tolist()))
-    return pd.DataFrame(rows, columns=["mean", "inverse"])
+        scatter = second - np.outer(mean, mean) + floor
+        rows.append((mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])))
+    return pd.DataFrame(rows, columns=["mean", "inverse", "logdet"])
 
 
 def _distance() -> Column:
@@ -119,13 +139,13 @@ _SUMS = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _PAIRS]
 
 
 def _fitted(moments: DataFrame) -> DataFrame:
-    estimate = F.pandas_udf(_estimate, "mean array<double>, inverse array<double>")
+    estimate = F.pandas_udf(_estimate, "mean array<double>, inverse array<double>, logdet double")
     fit = moments.withColumn("fit", estimate("n", F.array(*[F.col(c).cast("double") for c in _SUMS])))
-    return fit.select("pool", F.col("fit.mean").alias("mean"), F.col("fit.inverse").alias("inverse"))
+    return fit.select("pool", "start", F.col("fit.mean").alias("mean"), F.col("fit.inverse").alias("inverse"), F.col("fit.logdet").alias("logdet"))
 
 
 def _centre(vectors: DataFrame) -> DataFrame:
-    """The start: per pool, medians of each statistic and the spread of the middle half, from exact histograms."""
+    """The first start: per pool, medians of each statistic and the spread of the middle half, from exact histograms."""
     cells = vectors.select("pool", F.posexplode(F.transform("v", lambda x: F.floor(x / 32))).alias("i", "bin")).groupBy("pool", "i", "bin").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("pool", "i")
     up = cells.withColumn("share", F.sum("n").over(own.orderBy("bin")) / F.sum("n").over(own))
@@ -135,7 +155,14 @@ def _centre(vectors: DataFrame) -> DataFrame:
     each = each.withColumn("weight", 1 / (F.pow(F.col("quartiles") / 1.349, 2) + spread * spread))
     gathered = each.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("i", "middle", "weight"))).alias("d"))
     inverse = F.array(*[F.col("d")[i]["weight"] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    return gathered.select("pool", F.transform("d", lambda x: x["middle"]).alias("mean"), inverse.alias("inverse"))
+    return gathered.select("pool", F.lit(0).alias("start"), F.transform("d", lambda x: x["middle"]).alias("mean"), inverse.alias("inverse"), F.lit(math.inf).alias("logdet"))
+
+
+def _drawn(vectors: DataFrame) -> DataFrame:
+    """The other starts: moments of all vectors, and of shares drawn by hash."""
+    shares = [F.when(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(SHARE_OF)) == 0, k) for k, seed in enumerate(SHARES, 2)]
+    dealt = vectors.withColumn("start", F.explode(F.array_compact(F.array(F.lit(1), *shares))))
+    return _fitted(_moments(dealt, "pool", "start")).withColumn("logdet", F.lit(math.inf))
 
 
 def _bin() -> Column:
@@ -143,28 +170,41 @@ def _bin() -> Column:
 
 
 def _concentrated(vectors: DataFrame, fit: DataFrame) -> DataFrame:
-    """One step: moments of the COVER share of vectors that lie closest (whole distance bins), refitted."""
-    binned = vectors.join(fit, "pool").select("pool", "v", _bin())
-    own = Window.partitionBy("pool").orderBy("bin")
-    moments = _moments(binned, "pool", "bin").withColumn("below", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    moments = moments.withColumn("all", F.sum("n").over(Window.partitionBy("pool"))).where(F.col("below") < COVER * F.col("all"))
-    return _fitted(moments.groupBy("pool").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]))
+    """One step from each start: moments of the COVER share of vectors that lie closest (whole distance bins), refitted."""
+    binned = vectors.join(fit, "pool").select("pool", "start", "v", _bin())
+    own = Window.partitionBy("pool", "start").orderBy("bin")
+    moments = _moments(binned, "pool", "start", "bin").withColumn("below", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    moments = moments.withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start"))).where(F.col("below") < COVER * F.col("all"))
+    return _fitted(moments.groupBy("pool", "start").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]))
+
+
+def estimates(vectors: DataFrame) -> DataFrame:
+    """vectors(pool, v) -> pool, mean, inverse: of the starts' estimates that with the smallest determinant."""
+    fit = stored(_centre(vectors).unionByName(_drawn(vectors)), "quality-fit")
+    for _ in range(STEPS):
+        last, fit = fit, stored(_concentrated(vectors, fit), "quality-fit")
+        before = last.select("pool", "start", F.col("logdet").alias("before"))
+        still = fit.join(before, ["pool", "start"]).where(F.col("before") - F.col("logdet") > TOLERANCE).isEmpty()
+        forget(last)
+        if still:
+            break
+    best = fit.groupBy("pool").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("x"))
+    return stored(best.select("pool", "x.mean", "x.inverse"), "quality-best")
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, min_pool: int = MIN_POOL) -> DataFrame:
     """One row per row of docs(doc_id, text, lang, source): doc_id, text_key, the five counts, base_failed, distance, kept.
 
     Documents that fail the base rules have no vector and are rejected; of the rest, those are whose squared distance,
-    scaled so that half the pool lies within the chi-squared median, exceeds cutoff. With fewer than min_pool vectors
-    in all, nothing but the base rules rejects. Null languages and sources are values of their own; repeated rows
-    count each time and are judged alike; an empty table gives no rows.
+    scaled so that half the pool lies within the chi-squared median, exceeds cutoff, by default the chi-squared value
+    that a share of FALSE_REJECTION exceeds. With fewer than min_pool vectors in all, too few for a scatter matrix,
+    nothing but the base rules rejects. Null languages and sources are values of their own; repeated rows count each
+    time and are judged alike; an empty table gives no rows.
     """
     vector = F.array(*[F.round(F.expr(e) * FIXED_POINT).cast("long") for e, _ in STATISTICS])
     rows = stored(counts(docs), "quality-counts").withColumn("base_failed", base_failed()).withColumn("v", F.when(~F.col("base_failed"), vector)).withColumn("pools", _pools())
     vectors = rows.where("not base_failed").select("v", F.explode("pools").alias("pool"))
-    fit = stored(_centre(vectors), "quality-fit")
-    for _ in range(STEPS):
-        fit = stored(_concentrated(vectors, fit), "quality-fit")
+    fit = estimates(vectors)
     own = Window.partitionBy("pool")
     cells = vectors.join(fit, "pool").groupBy("pool", _bin()).agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("all", F.sum("n").over(own)).withColumn("up", F.sum("n").over(own.orderBy("bin")))
@@ -181,9 +221,10 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, min_pool: int = MIN_POOL) ->
 
 
 def passed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with its columns."""
-    kept = judged(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).dropDuplicates()
-    return docs.withColumn("__row", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")), "left_semi").select(*docs.columns)
+    """The rows of docs that are kept, with all its columns."""
+    own_id, own_key, row = unused(docs, "id", "key", "row")
+    kept = judged(docs, **options).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).dropDuplicates()
+    return docs.withColumn(row, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_key)), "left_semi").select(*own_columns(docs))
 
 
 def op5_quality(spark, sf_dir):
