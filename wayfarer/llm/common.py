@@ -35,7 +35,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: computed once, its lineage cut, safe from lost executors."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes stored() tables once all that reads them is stored itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import stored, table, text_bytes
 from .components import components
 from .near_copies import heads
@@ -60,7 +61,7 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     turned = F.array(*[F.expr(f"shiftleft(fp, {WIDTH * r}) | shiftrightunsigned(fp, {64 - WIDTH * r})" if r else "fp") for r in range(SEGMENTS)])
     keyed = prints.select("fp", F.posexplode(turned).alias("r", "turned")).withColumn("key", F.col("r") * (1 << EXACT * WIDTH) + F.shiftrightunsigned("turned", 64 - EXACT * WIDTH))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = stored(keyed.join(sizes, "key").select("key", "fp", "turned", "n"), "simhash-keys")
+    crowded = stored(keyed.join(stored(sizes, "simhash-sizes"), "key").select("key", "fp", "turned", "n"), "simhash-keys")
     few = crowded.where(F.col("n") <= paired)
     a, b = few.select("key", F.col("fp").alias("u"), F.col("turned").alias("tu")), few.select("key", F.col("fp").alias("v"), F.col("turned").alias("tv"))
     pairs = a.join(b, "key").where("u < v").withColumn("x", F.col("tu").bitwiseXOR(F.col("tv")))
@@ -79,7 +80,7 @@ def _rooted(docs: DataFrame, shingle: int, paired: int) -> DataFrame:
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(prints.select("fp"), paired))
     at = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = at.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stored(at.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = at.join(least, "root").select("fp", "component_id", "root")
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
@@ -94,9 +95,13 @@ def grouped(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFram
     return _rooted(docs, shingle, paired).drop("root")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, paired: int = PAIRED) -> DataFrame:
-    """Of each component, the document with the smallest doc_id, with the columns of docs. Rows without a doc_id stay."""
-    return heads(docs, _rooted(docs, shingle, paired))
+def one_of_each(docs: DataFrame, shingle: int = 3, paired: int = PAIRED, similarity: float | None = None) -> DataFrame:
+    """Of each component, the document with the smallest doc_id, with the columns of docs. Rows without a doc_id stay.
+
+    With a similarity, texts are linked where the Jaccard similarity of their sets of shingles is that or more. At 0.8
+    fingerprints differ in some 10 of 64 bits, for which no segment of a ring need be equal that would leave few
+    candidates; they come from MinHash bands instead, and are verified on the whole sets."""
+    return heads(docs, _rooted(docs, shingle, paired) if similarity is None else near_copies.rooted(docs, shingle, similarity))
 
 
 def op10_simhash(spark, sf_dir):
