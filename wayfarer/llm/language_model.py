@@ -32,6 +32,7 @@ WINDOW, LANES, STEPS, LONGEST, UPDATES = 8192, 512, 16, 256, 64
 SLICE_BYTES = 6_000_000  # of text that a worker packs into lanes at a time
 LONG_BYTES = 24_000  # longer texts are packed with each other, so that few lanes don't go on alone
 RATE = 0.01
+BLOCK = 1024  # tokens whose class probabilities are worked out at once
 HELD_WORDS = 1_000_000  # that a worker counts before it hands them on
 KNOWN_WORDS = 1_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
 SEED = 11
@@ -170,79 +171,105 @@ class Network:
         """The states at each step of a window from h, and the last; keep gets what going back needs."""
         n, u = HIDDEN, self.p["u"]
         u_gates, u_new = u[:, : 2 * n].copy(), u[:, 2 * n :].copy()
-        x = self.p["x"][inputs]
-        out = np.empty((*inputs.shape, n), np.float32)
+        table = self.p["x"]
+        out = np.empty((*inputs.shape, n), table.dtype)
         for t in range(len(inputs)):
             h = h * go_on[t][:, None]
-            gates = _sigmoid(x[t, :, : 2 * n] + h @ u_gates)
+            x = table[inputs[t]]
+            gates = h @ u_gates
+            gates += x[:, : 2 * n]
+            gates = _sigmoid(gates)
             z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[t, :, 2 * n :] + (r * h) @ u_new)
+            new = (r * h) @ u_new
+            new += x[:, 2 * n :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((h, z, r, new))
-            h = new + z * (h - new)
+            h = h - new
+            h *= z
+            h += new
             out[t] = h
         return out, h
 
     def losses(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target (of its class alone, for the tail), and the slope at the states."""
         p = self.p
+        # by class from here on: a class's rows follow each other
+        order = np.argsort(self.class_of(target).astype(np.uint16), kind="stable")
+        states, target = states[order], target[order]
         c = self.class_of(target)
         rows = np.arange(len(target))
         spread = np.abs(p["c"]).sum(axis=0)
-        logits = _centred(states @ p["c"] + p["cb"], 2 * float(spread.max()), float((p["cb"] + spread).max()))
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        score = logits[rows, c] - np.log(total)
-        slope = None
-        if grads is not None:
-            d = e / total[:, None]
-            d[rows, c] -= 1
-            grads["c"] += states.T @ d
-            grads["cb"] += d.sum(axis=0)
-            slope = d @ p["c"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes + 1))
+        wide, top = 2 * float(spread.max()), float((p["cb"] + spread).max())
+        score = np.empty(len(target), states.dtype)
+        slope = np.empty_like(states) if grads is not None else None
+        for a in range(0, len(target), BLOCK):  # what a block needs stays in a core's cache
+            s, own, own_rows = states[a : a + BLOCK], c[a : a + BLOCK], rows[: len(c[a : a + BLOCK])]
+            logits = s @ p["c"]
+            logits += p["cb"]
+            e = _centred(logits, wide, top)
+            picked = e[own_rows, own]
+            np.exp(e, out=e)
+            total = e.sum(axis=1)
+            score[a : a + BLOCK] = picked - np.log(total)
+            if grads is not None:
+                e /= total[:, None]
+                e[own_rows, own] -= 1
+                grads["c"] += s.T @ e
+                grads["cb"] += e.sum(axis=0)
+                slope[a : a + BLOCK] = e @ p["c"].T
+        edges = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
         spread = np.abs(p["w"]).sum(axis=1).reshape(self.classes, -1)
         tops, spreads = (p["wb"].reshape(self.classes, -1) + spread).max(axis=1).tolist(), (2 * spread.max(axis=1)).tolist()
-        for k in range(self.classes):
-            own = order[edges[k] : edges[k + 1]]
-            if not len(own):
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a == b:
                 continue
             at = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            s = states[own]
-            logits = _centred(s @ p["w"][at].T + p["wb"][at], spreads[k], tops[k])
-            e = np.exp(logits)
+            s, own, w = states[a:b], rows[: b - a], target[a:b] - k * CLASS_WORDS
+            logits = s @ p["w"][at].T
+            logits += p["wb"][at]
+            e = _centred(logits, spreads[k], tops[k])
+            score[a:b] += e[own, w]
+            np.exp(e, out=e)
             total = e.sum(axis=1)
-            w = target[own] - k * CLASS_WORDS
-            score[own] += logits[np.arange(len(own)), w] - np.log(total)
+            score[a:b] -= np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(own)), w] -= 1
-                grads["w"][at] += d.T @ s
-                grads["wb"][at] += d.sum(axis=0)
-                slope[own] += d @ p["w"][at]
-        return score, slope
+                e /= total[:, None]
+                e[own, w] -= 1
+                grads["w"][at] += e.T @ s
+                grads["wb"][at] += e.sum(axis=0)
+                slope[a:b] += e @ p["w"][at]
+        back = np.empty_like(order)
+        back[order] = rows
+        return score[back], None if slope is None else slope[back]
 
     def back(self, inputs: np.ndarray, go_on: np.ndarray, kept: list, slope: np.ndarray, grads: dict) -> None:
         """Backpropagation through one window; nothing flows back past its begin."""
         n, u = HIDDEN, self.p["u"]
-        dx = np.empty((*inputs.shape, 3 * n), np.float32)
+        gates_back, new_back = u[:, : 2 * n].T.copy(), u[:, 2 * n :].T.copy()
+        dx = np.empty((*inputs.shape, 3 * n), slope.dtype)
         dh = np.zeros_like(slope[0])
         for t in range(len(inputs) - 1, -1, -1):
             h, z, r, new = kept[t]
             dh = dh + slope[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            drh = dnew @ u[:, 2 * n :].T
-            dr = drh * h * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dnew], axis=1)
-            grads["u"][:, : 2 * n] += h.T @ dx[t, :, : 2 * n]
-            grads["u"][:, 2 * n :] += (r * h).T @ dnew
-            dh = (dh * z + drh * r + dx[t, :, : 2 * n] @ u[:, : 2 * n].T) * go_on[t][:, None]
+            dz, dr, dnew = dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :]
+            np.multiply(dh * (1 - z), 1 - new * new, out=dnew)
+            np.multiply(dh * (h - new), z * (1 - z), out=dz)
+            drh = dnew @ new_back
+            np.multiply(drh * h, r * (1 - r), out=dr)
+            dh *= z
+            drh *= r
+            dh += drh
+            dh += dx[t, :, : 2 * n] @ gates_back
+            dh *= go_on[t][:, None]
         flat, d = inputs.ravel(), dx.reshape(-1, 3 * n)
-        order = np.argsort(flat, kind="stable")
-        used, first = np.unique(flat[order], return_index=True)
-        grads["x"][used] += np.add.reduceat(d[order], first, axis=0)
+        before = np.concatenate([k[0] for k in kept])
+        grads["u"][:, : 2 * n] += before.T @ d[:, : 2 * n]
+        grads["u"][:, 2 * n :] += (np.concatenate([k[2] for k in kept]) * before).T @ d[:, 2 * n :]
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        ordered = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        grads["x"][ordered[first]] += np.add.reduceat(d[order], first, axis=0)
 
 
 class Adam:
@@ -255,10 +282,18 @@ class Adam:
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / tokens
         fix = np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
-            g = g * scale
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.p[k] -= RATE * fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
+            m, v = self.m[k], self.v[k]
+            g *= scale
+            m *= 0.9
+            m += 0.1 * g
+            g *= g
+            v *= 0.999
+            v += 0.001 * g
+            np.sqrt(v, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= RATE * fix
+            self.p[k] -= g
 
 
 def train(network: Network, adam: Adam, docs: list[np.ndarray]) -> int:
