@@ -11,6 +11,7 @@ carry the state from window to window; only the gradient stops at a window's beg
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -54,23 +55,22 @@ class Vocabulary(NamedTuple):
     def head_classes(self) -> int:
         return -(-len(self.head) // CLASS_WORDS)
 
-    def numbers(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.head)}
 
+@lru_cache
+def _tail_classes() -> np.ndarray:
+    """tail_class() by the last two bytes of a word, and behind those by the one byte of a word that has no more."""
+    return np.array([tail_class(bytes([k >> 8, k & 255])) for k in range(1 << 16)] + [tail_class(bytes([k])) for k in range(256)], np.int32)
 
-class _Numbers(dict):
-    """Input numbers of words: head words by rank, others by their class after those."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.numbers())
-        self.base, self.own = len(vocabulary.head), len(vocabulary.head)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            for w in list(self)[self.own :]:
-                del self[w]
-        self[word] = k = self.base + tail_class(word)
-        return k
+def _numbered(words: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
+    """Input numbers of words: head words by rank, others by their class after those; one more, for the end, comes last."""
+    head = len(vocabulary.head)
+    place = pc.fill_null(pc.index_in(words, value_set=pa.array(vocabulary.head, pa.binary())), -1).to_numpy()
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+    last, before = data[ends[1:] - 1].astype(np.int64), data[np.maximum(ends[1:] - 2, 0)].astype(np.int64)
+    tail = _tail_classes()[np.where(np.diff(ends) > 1, before << 8 | last, (1 << 16) + last)]
+    return np.append(np.where(place >= 0, place, head + tail), 0).astype(np.int32)
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -324,7 +324,7 @@ def score(network: Network, docs: list[np.ndarray]) -> np.ndarray:
     return out / np.log(10)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Texts as (number of each word, distinct words, edges of the texts); the number behind the last word's is for the end that each text has."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = split.flatten()
@@ -332,7 +332,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     offsets = split.offsets.to_numpy()
     edges = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
     coded = flat.filter(pa.array(real)).dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    words = coded.dictionary.cast(pa.binary())
     numbers = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(words))
     return numbers, words, edges + np.arange(len(edges))
 
@@ -370,7 +370,7 @@ def _counts(texts: DataFrame) -> DataFrame:
 
         for batch in slices(batches, "text", SLICE_BYTES):
             numbers, words, _ = _tokens(batch.column(0))
-            held.append(pa.table([pa.array([*words, END], pa.binary()), pa.array(np.bincount(numbers, minlength=len(words) + 1))], ["word", "c"]))
+            held.append(pa.table([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(np.bincount(numbers, minlength=len(words) + 1))], ["word", "c"]))
             if sum(map(len, held)) > HELD_WORDS:
                 held = [summed()]
                 if len(held[0]) > HELD_WORDS // 2:
@@ -418,13 +418,12 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
         def run(batches, sent=sent):
             vocabulary, parameters = sent.value
             parameters = {k: x.copy() for k, x in parameters.items()}
-            network, numbers, seen = Network(parameters, len(vocabulary.head)), _Numbers(vocabulary), 0
+            network, seen = Network(parameters, len(vocabulary.head)), 0
             adam = Adam(parameters)
             for batch in _by_length(batches):
                 flat, words, edges = _tokens(batch.column("text"))
-                flat = np.fromiter(map(numbers.__getitem__, [*words, END]), np.int32, len(words) + 1)[flat]
                 if batch.num_rows:
-                    seen += train(network, adam, np.split(flat, edges[1:-1]))
+                    seen += train(network, adam, np.split(_numbered(words, vocabulary)[flat], edges[1:-1]))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_packed(parameters)], pa.binary())], ["n", "parameters"])
 
@@ -460,33 +459,33 @@ def scored(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         vocabulary, parameters, hashes, sizes = sent.value
-        network, numbers, head = Network(parameters, len(vocabulary.head)), _Numbers(vocabulary), len(vocabulary.head)
+        network, head = Network(parameters, len(vocabulary.head)), len(vocabulary.head)
         share = np.log10(vocabulary.tail_counts + vocabulary.tail_words + 1.0)
         for batch in _by_length(batches):
             if not batch.num_rows:
                 continue
-            flat, own, edges = _tokens(batch.column("text"))
-            own.append(END)
+            flat, words, edges = _tokens(batch.column("text"))
             lengths = np.diff(edges)
-            number = np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))
+            number = _numbered(words, vocabulary)
+            own = [*words.to_pylist(), END]
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)).view(np.int64)
             at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
             found = (hashes[at] == h) if len(hashes) else np.zeros(len(own), bool)
-            c = np.where(found, sizes[at] if len(hashes) else 0, 0)
-            number_flat = number[flat]
+            logs = np.log10(np.where(found, sizes[at] if len(hashes) else 0, 0) + 1.0)
+            tail = number >= head
+            # what the network leaves to the counts: a tail word's share of its class
+            within = np.where(tail, logs - share[np.where(tail, number - head, 0)], 0.0)
             doc = np.repeat(np.arange(len(lengths)), lengths)
-            per_doc = lambda x: np.bincount(doc, x, len(lengths))
-            logs, tail = np.log10(c + 1.0)[flat], number_flat >= head
-            lost = np.where(tail, share[np.where(tail, number_flat - head, 0)], 0.0)
-            network_score = score(network, np.split(number_flat, edges[1:-1]))
+            per_doc = lambda x: np.bincount(doc, x[flat], len(lengths))
+            network_score = score(network, np.split(number[flat], edges[1:-1]))
             rare = np.flatnonzero(~found[flat])
             rare_edges = np.searchsorted(rare, edges)
             rare_words = pa.array([own[k] for k in flat[rare].tolist()], pa.binary())
             columns = {
                 "n_tokens": pa.array(lengths, pa.int64()),
-                "n_known": pa.array(per_doc(found[flat]).astype(np.int64)),
+                "n_known": pa.array(per_doc(found).astype(np.int64)),
                 "logs": pa.array(per_doc(logs)),
-                "model": pa.array(network_score + per_doc(np.where(tail, logs, 0.0)) - per_doc(lost)),
+                "model": pa.array(network_score + per_doc(within)),
                 "rare": pa.ListArray.from_arrays(pa.array(rare_edges, pa.int32()), rare_words),
             }
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text_key"), *columns.values()], ["doc_id", "held_out", "text_key", *columns])
