@@ -141,6 +141,8 @@ def test_read_tracks_and_metadata(spark, tmp_path):
     np.save(tmp_path / "ob7_utm.npy", np.array([[[0.0, 1.0], [np.nan, np.nan]]]))
     np.save(tmp_path / "Observation8_utm.npy", np.array([[2.0, 3.0]]))
     fixes = catalog.read_tracks(spark, str(tmp_path), r"^(.*)_utm\.npy$")
+    with pytest.raises(ValueError, match="no .npy file"):
+        catalog.read_tracks(spark, str(tmp_path), "^(nothing)$")
     assert sorted((r["observation"], r["track"], r["frame"], r["x"]) for r in fixes.collect()) == [("observation7", 0, 0, 0.0), ("observation7", 0, 1, None), ("observation8", 0, 0, 2.0)]
     (tmp_path / "tracks.csv").write_text("observation,track,frame,age\nob7,0,9,adult\n")
     meta = catalog.read_metadata(spark, str(tmp_path / "tracks.csv"), ["observation", "track"])
@@ -158,5 +160,5 @@ def test_labels():
     assert catalog.wanted_labels(["ob7", "Observation12", 3, " 4 "]) == {"observation7", "observation12", "observation3", "observation4"}
     with pytest.raises(ValueError, match="names no observation"):
         catalog.wanted_labels(["track7"])
-    with pytest.raises(ValueError, match="one group"):
+    with pytest.raises(ValueError, match="one named obs"):
         catalog.observation_of(F.lit("a"), "a(b)(c)")

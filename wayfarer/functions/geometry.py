@@ -56,6 +56,15 @@ def utm_zone(lon: Column) -> Column:
     return (F.floor((lon + 180) / 6) + 1).cast("long")
 
 
+#: The letters of the latitude bands from 80 degrees south, 8 degrees each, the last 12.
+UTM_LETTERS = "CDEFGHJKLMNPQRSTUVWXX"
+
+
+def utm_letter(lat: Column) -> Column:
+    """The latitude band's letter; null beyond 80 degrees south and 84 degrees north."""
+    return F.when(lat.between(-80, 84), F.substring(F.lit(UTM_LETTERS), (F.floor((lat + 80) / 8) + 1).cast("int"), F.lit(1)))
+
+
 def utm(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Easting and northing in metres; 10,000 km are added south of the equator."""
     e2, ep2 = _E2, _E2 / (1 - _E2)

@@ -9,6 +9,11 @@ TRACK = ["observation", "track"]
 STEP = [*TRACK, "offset_m"]
 
 
+def step_key(rows: DataFrame) -> list[str]:
+    """The columns that tell walks apart: STEP, and step_length where a table holds walks of several lengths."""
+    return [*TRACK, "step_length", "offset_m"] if "step_length" in rows.columns else STEP
+
+
 class MissingColumns(ValueError):
     """A table lacks columns that an operator needs."""
 

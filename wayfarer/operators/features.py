@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.draws import uniform
-from ..model import STEP
+from ..model import step_key
 from .trajectory import moves
 
 FPS = 30.0
@@ -43,15 +43,22 @@ def observer_features(made: DataFrame, fps: float = FPS) -> DataFrame:
 OBSERVER = ["step_length_m", "step_duration_s", "step_speed_mps", "dist_to_observer", "delta_observer_dist", "angle_to_observer", "heading_deg"]
 
 
+def each_once(lookup: DataFrame, *key: str) -> DataFrame:
+    """lookup, whose reading fails if it has a key more than once: a step would come out twice."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    once = F.when(n == 1, True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("more than one row of"), *[F.col(k).cast("string") for k in key])).cast("boolean"))
+    return lookup.withColumn("__once", once).where("__once").drop("__once")
+
+
 def observed_features(steps: DataFrame, observers: DataFrame, fps: float = FPS) -> DataFrame:
     """Features of observed steps; observers(observation, easting, northing) is one row per observation."""
-    return observer_features(moves(steps).select(*STEP, "step_idx", "frame", "x", "y", "px", "py", "pframe").join(F.broadcast(observers), "observation"), fps)
+    return observer_features(moves(steps).select(*step_key(steps), "step_idx", "frame", "x", "y", "px", "py", "pframe").join(each_once(observers, "observation"), "observation"), fps)
 
 
 def simulated_features(simulated: DataFrame, steps: DataFrame, observers: DataFrame, fps: float = FPS) -> DataFrame:
     """Features of simulated steps, whose start is the observed point target_step_index."""
-    begin = steps.select(*STEP, F.col("step_idx").alias("target_step_index"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("frame").alias("pframe"))
-    return observer_features(simulated.drop("px", "py").join(begin, [*STEP, "target_step_index"]).join(F.broadcast(observers), "observation"), fps)
+    begin = steps.select(*step_key(steps), F.col("step_idx").alias("target_step_index"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("frame").alias("pframe"))
+    return observer_features(simulated.drop("px", "py").join(begin, [*step_key(steps), "target_step_index"]).join(each_once(observers, "observation"), "observation"), fps)
 
 
 #: How each feature is transformed before it is normalised.
@@ -89,7 +96,7 @@ def numeric_stats(rows: DataFrame, features: list[str], transform=transformed) -
 
 def normalised(rows: DataFrame, features: list[str], stats: DataFrame, transform=transformed) -> DataFrame:
     """rows with <feature>_z; features without statistics have mean 0 and std 1."""
-    by_name = F.broadcast(stats.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("__stats")))
+    by_name = (stats.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("__stats")))
     z = lambda f: (transform(f) - F.coalesce(F.try_element_at("__stats", F.lit(f))["mean"], F.lit(0.0))) / F.coalesce(F.try_element_at("__stats", F.lit(f))["std"], F.lit(1.0))
     return rows.crossJoin(by_name).withColumns({f + "_z": z(f) for f in features}).drop("__stats")
 
@@ -103,7 +110,7 @@ def vocabulary(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def one_hot(rows: DataFrame, feature: str, values: DataFrame) -> DataFrame:
     """rows with <feature>_onehot, an array as long as the feature's vocabulary; all zero for an unknown value."""
-    known = F.broadcast(values.where(F.col("feature") == feature).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("__known")))
+    known = (values.where(F.col("feature") == feature).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda x: x["value"]).alias("__known")))
     own = F.coalesce(F.col(feature).cast("string"), F.lit(""))
     return rows.crossJoin(known).withColumn(feature + "_onehot", F.transform("__known", lambda v: F.when(v == own, 1.0).otherwise(0.0))).drop("__known")
 
@@ -116,41 +123,50 @@ def ground_one_hot(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ground_" + name: F.when(F.col("ground_class") == code, 1).otherwise(0).cast("long") for code, name in GROUND_NAMES.items()})
 
 
-def feature_vector(numeric: list[str], hot: list[str]) -> Column:
-    """Normalised features in order, then the one-hot arrays; a missing number stays null."""
-    return F.concat(F.array(*[F.col(f + "_z") for f in numeric]), *[F.col(f + "_onehot") for f in hot])
+#: Categories that a training example may hold.
+CATEGORICAL = ("age", "nn_age", "species", "nn_species", "ground_class", "ground_class_name", "nn_visible")
+
+
+def feature_vector(numeric: list[str], hot: list[str], absent: list[str] | tuple[str, ...] = ()) -> Column:
+    """Normalised features in order, then the one-hot arrays; a missing number stays null, one that the table has no
+    column for (absent) is 0."""
+    return F.concat(F.array(*[F.lit(0.0) if f in absent else F.col(f + "_z") for f in numeric]), *[F.col(f + "_onehot") for f in hot])
 
 
 def sample_index(steps: DataFrame, simulated: DataFrame, context: int) -> DataFrame:
     """Points with `context` points before them, a next point and at least one alternative: key, step_idx, n_sims."""
-    sims = simulated.groupBy(*STEP, F.col("target_step_index").alias("step_idx")).agg(F.count(F.lit(1)).alias("n_sims"))
-    return steps.where(F.col("step_idx") >= context).select(*STEP, "step_idx").join(sims, [*STEP, "step_idx"])
+    key = step_key(steps)
+    sims = simulated.groupBy(*key, F.col("target_step_index").alias("step_idx")).agg(F.count(F.lit(1)).alias("n_sims"))
+    return steps.where(F.col("step_idx") >= context).select(*key, "step_idx").join(sims, [*key, "step_idx"])
 
 
 def context_window(steps: DataFrame, context: int, value: Column) -> DataFrame:
     """steps with context: `value` of the points before, oldest first, at most `context` of them."""
-    w = Window.partitionBy(*STEP).orderBy("step_idx").rowsBetween(-context, -1)
+    w = Window.partitionBy(*step_key(steps)).orderBy("step_idx").rowsBetween(-context, -1)
     return steps.withColumn("context", F.collect_list(value).over(w))
 
 
 def chosen(simulated: DataFrame, most: int, seed: str = "choice") -> DataFrame:
     """At most `most` alternatives for each step, drawn without replacement by a keyed hash."""
-    key = [*STEP, "target_step_index"]
+    key = [*step_key(simulated), "target_step_index"]
     u = uniform(seed, F.col("observation"), F.col("track"), F.col("offset_m").cast("long"), F.col("target_step_index"), F.col("replicate"))
     order = Window.partitionBy(*key).orderBy(u, "replicate")
     return simulated.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).drop("__k")
 
 
-def training_examples(observed: DataFrame, simulated: DataFrame, context: int, most: int, fields: list[str]) -> DataFrame:
+def training_examples(observed: DataFrame, simulated: DataFrame, context: int, most: int, fields: list[str] | str) -> DataFrame:
     """One row per sample: its key, observed (vector), context (vectors, oldest first) and simulated (vectors by replicate).
 
-    The observed move is the one to the next point; observed and simulated have the columns in fields."""
-    vector = F.array(*[F.col(f) for f in fields])
-    w = Window.partitionBy(*STEP).orderBy("step_idx")
+    The observed move is the one to the next point; observed and simulated have the columns in fields, or one column
+    that is the vector. meta names the sample: its walk, target and whether all `most` alternatives are there."""
+    vector = F.col(fields) if isinstance(fields, str) else F.array(*[F.col(f) for f in fields])
+    key = step_key(observed)
+    w = Window.partitionBy(*key).orderBy("step_idx")
     points = context_window(observed, context, vector).withColumn("observed", F.lead(vector).over(w)).where((F.col("step_idx") >= context) & F.col("observed").isNotNull())
-    own = chosen(simulated, most).groupBy(*STEP, F.col("target_step_index").alias("step_idx"))
+    own = chosen(simulated, most).groupBy(*key, F.col("target_step_index").alias("step_idx"))
     own = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", vector.alias("v")))), lambda x: x["v"]).alias("simulated"))
-    return points.select(*STEP, "step_idx", "observed", "context").join(own, [*STEP, "step_idx"])
+    meta = F.struct(*key, F.col("step_idx").alias("target_step_index"), (F.size("simulated") == most).alias("full"))
+    return points.select(*key, "step_idx", "observed", "context").join(own, [*key, "step_idx"]).withColumn("meta", meta)
 
 
 def complete(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -160,4 +176,4 @@ def complete(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def local_index(rows: DataFrame) -> DataFrame:
     """rows with local_index, their place in the track and offset."""
-    return rows.withColumn("local_index", (F.row_number().over(Window.partitionBy(*STEP).orderBy("step_idx")) - 1).cast("long"))
+    return rows.withColumn("local_index", (F.row_number().over(Window.partitionBy(*step_key(rows)).orderBy("step_idx")) - 1).cast("long"))

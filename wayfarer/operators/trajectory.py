@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..model import STEP, TRACK, require_columns
+from ..model import STEP, TRACK, require_columns, step_key
 
 
 def _by_frame() -> Window:
@@ -74,39 +78,62 @@ def walk_arc(fixes: DataFrame, step_length: float, offsets: list[float]) -> Data
     return found.select(*STEP, "step_idx", at("frame").alias("frame"), at("x").alias("x"), at("y").alias("y"))
 
 
+def walk_lengths(fixes: DataFrame, offsets: dict[float, list[float]]) -> DataFrame:
+    """walk_arc() for several step lengths, each with its offsets, in one table with a column step_length. What works on
+    steps keeps walks of different lengths apart by it."""
+    walks = [walk_arc(fixes, length, own).withColumn("step_length", F.lit(float(length))) for length, own in sorted(offsets.items())]
+    return reduce(DataFrame.unionByName, walks)
+
+
 def walk_chord(fixes: DataFrame, step_length: float, offset: float = 0.0, allowed: Column | None = None) -> DataFrame:
     """Each next point is the first at a straight distance of at least L from the last: observation, track, step_idx, frame, x, y.
 
     With an offset, the first point at that distance from the track's begin is the first step; if there is none, the
     walk goes on from the begin, which is not a step. Points where `allowed` doesn't hold are passed over. The walk
-    needs one point after the other: a track is folded by one task, so its length bounds the task's memory.
+    needs one point after the other: a task goes along its sorted tracks and holds no more than the last point, with an
+    offset also the steps from the begin until it is known whether they count.
     """
     require_columns(fixes, *TRACK, "frame", "x", "y")
     usable = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
-    point = F.struct(F.col("frame").cast("double").alias("frame"), "x", "y", usable.alias("ok"))
-    tracks = fixes.where("x is not null and y is not null").groupBy(*TRACK).agg(F.array_sort(F.collect_list(point)).alias("points"))
-    far = lambda a, b, d: g.length(b["x"] - a["x"], b["y"] - a["y"]) >= d
-    begin = F.get("points", 0)
-    if offset > 0:
-        start = F.get(F.filter("points", lambda p: far(begin, p, offset)), 0)
-        state = F.struct(F.coalesce(start, begin).alias("at"), F.when(start.isNotNull(), F.array(start)).otherwise(F.slice("points", 1, 0)).alias("out"))
-        rest = F.filter("points", lambda p: p["frame"] > F.coalesce(start, begin)["frame"])
-    else:
-        state = F.struct(begin.alias("at"), F.slice("points", 1, 1).alias("out"))
-        rest = F.slice("points", 2, F.size("points"))
-    step = lambda s, p: F.when(p["ok"] & far(s["at"], p, step_length), F.struct(p.alias("at"), F.array_append(s["out"], p).alias("out"))).otherwise(s)
-    walked = tracks.select(*TRACK, F.posexplode(F.aggregate(rest, state, step, lambda s: s["out"])).alias("step_idx", "p"))
-    return walked.select(*TRACK, F.col("step_idx").cast("long").alias("step_idx"), "p.frame", "p.x", "p.y")
+    points = fixes.where("x is not null and y is not null").select(*TRACK, F.col("frame").cast("double").alias("frame"), "x", "y", usable.alias("ok"))
+    ordered = points.repartition(*TRACK).sortWithinPartitions(*TRACK, "frame")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        track, begin, last, steps, spare = None, None, None, 0, []
+        for batch in batches:
+            out = []
+            for observation, number, frame, x, y, ok in batch.itertuples(index=False):
+                if (observation, number) != track:
+                    out += spare
+                    track, begin, spare = (observation, number), (x, y), []
+                    last, steps = begin, 0
+                    searching = offset > 0
+                    if not searching:
+                        out.append((*track, 0, frame, x, y))
+                        steps = 1
+                    continue
+                if searching and ((x - begin[0]) ** 2 + (y - begin[1]) ** 2) ** 0.5 >= offset:
+                    # what was walked from the begin doesn't count: the walk starts here
+                    searching, spare, last, steps = False, [], (x, y), 1
+                    out.append((*track, 0, frame, x, y))
+                elif ok and ((x - last[0]) ** 2 + (y - last[1]) ** 2) ** 0.5 >= step_length:
+                    (spare if searching else out).append((*track, steps, frame, x, y))
+                    last, steps = (x, y), steps + 1
+            yield pd.DataFrame(out, columns=[*TRACK, "step_idx", "frame", "x", "y"])
+        yield pd.DataFrame(spare, columns=[*TRACK, "step_idx", "frame", "x", "y"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in fixes.schema.fields}
+    return ordered.mapInPandas(walk, f"observation {kinds['observation']}, track {kinds['track']}, step_idx bigint, frame double, x double, y double")
 
 
 def at_least(steps: DataFrame, n: int = 5) -> DataFrame:
     """Steps of tracks (per offset) that have n points or more."""
-    return steps.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*STEP))).where(F.col("__n") >= n).drop("__n")
+    return steps.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*step_key(steps)))).where(F.col("__n") >= n).drop("__n")
 
 
 def moves(steps: DataFrame) -> DataFrame:
     """steps with the move that leads to each point: px, py, pframe, dx, dy, length_m, heading; null for first points."""
-    w = Window.partitionBy(*STEP).orderBy("step_idx")
+    w = Window.partitionBy(*step_key(steps)).orderBy("step_idx")
     found = steps.select("*", F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"), F.lag("frame").over(w).alias("pframe"))
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
     return found.withColumns({"dx": dx, "dy": dy}).withColumns({"length_m": g.length(F.col("dx"), F.col("dy")), "heading": g.heading(F.col("dx"), F.col("dy"))})
@@ -114,6 +141,6 @@ def moves(steps: DataFrame) -> DataFrame:
 
 def turns(steps: DataFrame) -> DataFrame:
     """Turning angles, wrapped to [-pi, pi), between consecutive moves: observation, track, offset_m, step_idx, delta."""
-    w = Window.partitionBy(*STEP).orderBy("step_idx")
+    w = Window.partitionBy(*step_key(steps)).orderBy("step_idx")
     found = moves(steps).withColumn("before", F.lag("heading").over(w)).where("before is not null")
-    return found.select(*STEP, "step_idx", g.wrap(F.col("heading") - F.col("before")).alias("delta"))
+    return found.select(*step_key(steps), "step_idx", g.wrap(F.col("heading") - F.col("before")).alias("delta"))

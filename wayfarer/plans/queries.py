@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..model import STEP, TRACK, rounded
 from ..operators import features as ft
+from ..operators import loader_v1 as v1
 from ..operators import raster as ra
 from ..operators import simulation as si
 from ..operators import social as so
@@ -17,6 +18,7 @@ from ..operators import trajectory as tr
 from ..operators import viewshed as vs
 from ..sources import catalog as ca
 from ..sources import fixtures as fx
+from ..sources import store
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,6 +220,17 @@ for _pool, _part in (("track", "PARTITION BY observation, track"), ("observation
         return shown(si.turning_pool(steps(spark, sf, ALL), pool))
 
 
+@query("turning_pool_named", f"WITH {o.turns(ALL)} SELECT ROW_NUMBER() OVER (ORDER BY {S}) - 1 AS pool_idx, {r('delta')}, COUNT(*) OVER () AS pool_n FROM turns WHERE offset_m IN (0, 2) AND observation <> 1")
+def _(spark, sf):
+    made = steps(spark, sf, ALL)
+    return shown(si.turning_pool(made, "global", [0, 2], [r["observation"] for r in fx.observers(spark, sf).where("observation <> 1").select("observation").collect()]))
+
+
+@query("walk_lengths", f"WITH {o.steps()}, other AS (WITH {o.steps((0.0, 1.0), 2.5)} SELECT * FROM steps), al AS (SELECT 5.0 AS step_length, * FROM steps UNION ALL SELECT 2.5, * FROM other), mv AS (SELECT *, LAG(x) OVER w AS px FROM al WINDOW w AS (PARTITION BY observation, track, step_length, offset_m ORDER BY step_idx)) SELECT observation, track, CAST(step_length AS DOUBLE) AS step_length, offset_m, step_idx, {r('x', 'y', 'px')} FROM mv")
+def _(spark, sf):
+    return shown(tr.moves(tr.walk_lengths(fx.fixes(spark, sf), {5.0: [0.0], 2.5: [0.0, 1.0]})), *TRACK, "step_length", "offset_m", "step_idx", "x", "y", "px")
+
+
 _SIM = f"{K}, target_step_index, replicate, {r('x', 'y', 'length_m')}"
 _SIM_COLUMNS = [*STEP, "target_step_index", "replicate", "x", "y", "length_m"]
 
@@ -250,7 +263,17 @@ def _(spark, sf):
     SELECT {K}, target_step_index, replicate, round(p.length_m, 6) + 0.0 AS length_m, round(p.turn, 6) + 0.0 AS turn,
         round(u.x + p.length_m * sin(pi() / 2 - base + radians(p.turn)), 6) + 0.0 AS x, round(u.y + p.length_m * cos(pi() / 2 - base + radians(p.turn)), 6) + 0.0 AS y FROM ju u JOIN jp p USING ({K}, i)""")
 def _(spark, sf):
-    return shown(si.simulate_jointly(steps(spark, sf), 3))
+    return shown(si.simulate_jointly(steps(spark, sf), 3).drop("frame"))
+
+
+@query("simulate_v1_halfplane", f"""WITH {o.simulated(1)}, {_TURNED}, {o.DSM}, jp AS (SELECT {K}, length_m, ROW_NUMBER() OVER (PARTITION BY {K} ORDER BY step_idx) - 1 AS i, COUNT(*) OVER (PARTITION BY {K}) AS n FROM tv),
+    jn AS (SELECT DISTINCT {K}, n FROM jp), jt AS (SELECT st.*, jn.n, unnest(range(0, 150)) AS trial FROM st JOIN jn USING ({K}) WHERE length_m IS NOT NULL),
+    ju AS (SELECT *, CAST(floor({o.uniform("joint", "observation", "track", "CAST(offset_m AS BIGINT)", "target_step_index", "trial")} * n) AS BIGINT) AS i, floor({o.uniform("joint-angle", "observation", "track", "CAST(offset_m AS BIGINT)", "target_step_index", "trial")} * 180) AS turn FROM jt),
+    je AS (SELECT {K}, target_step_index, trial, p.length_m AS length_m, turn, u.x + p.length_m * sin(pi() / 2 - base + radians(turn)) AS x, u.y + p.length_m * cos(pi() / 2 - base + radians(turn)) AS y FROM ju u JOIN jp p USING ({K}, i)),
+    jr AS (SELECT je.*, ROW_NUMBER() OVER (PARTITION BY {K}, target_step_index ORDER BY trial) - 1 AS replicate FROM je JOIN dsm c ON {o.at('c', 'je.x', 'je.y')} AND c.value IS NOT NULL)
+    SELECT {K}, target_step_index, replicate, {r('length_m', 'turn', 'x', 'y')} FROM jr WHERE replicate < 3""")
+def _(spark, sf):
+    return shown(si.simulate_jointly(steps(spark, sf), 3, angles="halfplane", layer=fx.dsm(spark)).drop("frame"))
 
 
 # features of steps
@@ -394,6 +417,38 @@ def _(spark, sf):
     return shown(ra.downsampled(fx.dsm(spark), 4).withColumnsRenamed({"row": "r", "col": "c"}))
 
 
+_MAPS = f"{o.steps()}, {o.DSM}, {o.OBSERVERS}, reg AS (SELECT CAST(r_regionkey AS BIGINT) AS m, r_name AS big_map FROM region), sm AS (SELECT s.*, big_map, m FROM steps s JOIN obs USING (observation) JOIN reg USING (big_map))"
+
+
+def _mapped(spark, sf):
+    return steps(spark, sf).join(fx.observers(spark, sf).select("observation", "big_map"), "observation")
+
+
+@query("raster_sample_by_map", f'WITH {_MAPS} SELECT {S}, big_map, round(c.value + m, 6) + 0.0 AS value FROM sm LEFT JOIN dsm c ON c."row" = CAST(floor((y - (30 - m)) / -0.5) AS BIGINT) AND c.col = CAST(floor((x - (-20 + m)) / 0.5) AS BIGINT)')
+def _(spark, sf):
+    return shown(ra.sample(_mapped(spark, sf), fx.map_layer(spark, sf), "value"), *STEP, "step_idx", "big_map", "value")
+
+
+def _resample(name: str, how: str) -> None:
+    """Targets of 1 m over cells of 0.5 m, and of 0.25 m below them."""
+
+    def sql(cell: float) -> str:
+        k = cell / 0.5
+        near = {"bilinear": f"abs(t + 0.5 - (p + 0.5) / {k}) / {max(1, 1 / k)}", "average": f"CASE WHEN floor((p + 0.5) / {k}) = t THEN 0 ELSE 1 END", "nearest": f"CASE WHEN floor((t + 0.5) * {k}) = p THEN 0 ELSE 1 END"}[how]
+        axis = lambda n: f"(SELECT t, p, 1.0 - {near} AS w FROM (SELECT unnest(range(0, {int(n / k)})) AS t), (SELECT unnest(range(0, {n})) AS p) WHERE {near} < 1)"
+        return f'SELECT CAST({cell} AS DOUBLE) AS cell, a.t AS r, b.t AS c, round(SUM(a.w * b.w * value) / SUM(a.w * b.w), 6) + 0.0 AS value FROM dsm JOIN {axis(100)} a ON a.p = dsm."row" JOIN {axis(130)} b ON b.p = dsm.col WHERE value IS NOT NULL GROUP BY 2, 3'
+
+    @query(name, f"WITH {o.DSM} {sql(1.0)} UNION ALL {sql(0.25)}" if how != "average" else f"WITH {o.DSM} {sql(1.0)}")
+    def _(spark, sf):
+        made = [ra.resampled(fx.dsm(spark), cell, how).cells.select(F.lit(cell).alias("cell"), F.col("row").alias("r"), F.col("col").alias("c"), "value") for cell in ((1.0,) if how == "average" else (1.0, 0.25))]
+        return shown(made[0] if len(made) == 1 else made[0].unionByName(made[1]))
+
+
+_resample("dsm_bilinear", "bilinear")
+_resample("dsm_average", "average")
+_resample("dsm_nearest", "nearest")
+
+
 # other animals
 
 
@@ -446,6 +501,7 @@ seen AS (SELECT {", ".join("l1." + k.strip() for k in key.split(","))}, h.observ
 
 _HEIGHTS = f"""mz AS (SELECT m.*, a.value + (1.5 - a.value / 10) AS za, b.value + (1.5 - b.value / 10) AS zb FROM mt m LEFT JOIN dsm a ON {o.at('a', 'm.x', 'm.y')} LEFT JOIN dsm b ON {o.at('b', 'm.nx', 'm.ny')})"""
 _NK = f"{S}, neighbor_track"
+_ON_GRID = f"ong AS (SELECT {S} FROM steps WHERE floor((y - 30) / -0.5) BETWEEN 0 AND 99 AND floor((x + 20) / 0.5) BETWEEN 0 AND 129)"
 
 
 @query("los_pairs", f"WITH {o.steps()}, {o.NEIGHBOURS}, {o.DSM}, mt AS (SELECT * FROM met), {_HEIGHTS}, {_sight('mz', _NK)} SELECT {_NK}, {r('distance_m')}, visible FROM met JOIN seen USING ({_NK})")
@@ -459,11 +515,23 @@ def _(spark, sf):
     return shown(so.visible_neighbours(steps(spark, sf), fx.fixes(spark, sf), fx.dsm(spark), fx.layer(spark, "heights"), 12.0, 3))
 
 
-@query("social_visible", f"""WITH {o.steps()}, {o.NEIGHBOURS}, {o.DSM}, mt AS (SELECT * FROM met), {_HEIGHTS}, {_sight('mz', _NK)}
-    SELECT {S}, COUNT(*) FILTER (WHERE visible) AS social_visible_count, arg_min(visible, struct_pack(d := distance_m, t := neighbor_track)) AS nn_visible FROM met JOIN seen USING ({_NK}) GROUP BY {S}""")
+_VISIBLE = f"""vis AS (SELECT {S}, COUNT(*) FILTER (WHERE visible) AS n_visible, arg_min(visible, struct_pack(d := distance_m, t := neighbor_track)) AS nn_visible FROM met JOIN seen USING ({_NK}) GROUP BY {S})"""
+
+
+@query("social_visible", f"WITH {o.steps()}, {o.NEIGHBOURS}, {o.DSM}, mt AS (SELECT * FROM met), {_HEIGHTS}, {_sight('mz', _NK)}, {_VISIBLE}, {_ON_GRID} SELECT {S}, coalesce(n_visible, 0) AS social_visible_count, nn_visible FROM steps LEFT JOIN (SELECT * FROM vis SEMI JOIN ong USING ({S})) USING ({S})")
+def _(spark, sf):
+    found = so.annotated(steps(spark, sf), fx.fixes(spark, sf), fx.track_metadata(spark, sf), fx.dsm(spark), fx.layer(spark, "heights"))
+    return found.select(*STEP, "step_idx", "social_visible_count", "nn_visible")
+
+
+@query("social_features", f"""WITH {o.steps()}, {o.NEIGHBOURS}, {o.DSM}, {o.TRACKS}, mt AS (SELECT * FROM met WHERE distance_m <= 12), {_HEIGHTS}, {_sight('mz', _NK)}, {_ON_GRID},
+    al AS (SELECT met.*, coalesce(visible, false) AS visible FROM met LEFT JOIN seen USING ({_NK}) SEMI JOIN ong USING ({S})),
+    ag AS (SELECT {S}, COUNT(*) FILTER (WHERE distance_m < 10) AS density, COUNT(*) FILTER (WHERE visible) AS n_visible, arg_min(struct_pack(d := distance_m, t := neighbor_track, v := visible), struct_pack(d := distance_m, t := neighbor_track)) AS nn FROM al GROUP BY {S})
+    SELECT s.observation, s.track, s.offset_m, s.step_idx, coalesce(density, 0) AS social_density, coalesce(n_visible, 0) AS social_visible_count, round(nn.d, 6) + 0.0 AS nn_distance_m, coalesce(nn.t, -1) AS nn_track, nn.v AS nn_visible, m.species AS nn_species, m.age AS nn_age
+    FROM steps s LEFT JOIN ag USING ({S}) LEFT JOIN meta m ON m.observation = s.observation AND m.track = nn.t""")
 def _(spark, sf):
-    seen = so.visible_neighbours(steps(spark, sf), fx.fixes(spark, sf), fx.dsm(spark), fx.layer(spark, "heights"))
-    return seen.groupBy(*STEP, "step_idx").agg(F.count_if("visible").alias("social_visible_count"), F.min_by("visible", F.struct("distance_m", "neighbor_track")).alias("nn_visible"))
+    found = so.annotated(steps(spark, sf), fx.fixes(spark, sf), fx.track_metadata(spark, sf), fx.dsm(spark), fx.layer(spark, "heights"), within=12.0)
+    return shown(found, *STEP, "step_idx", "social_density", "social_visible_count", "nn_distance_m", "nn_track", "nn_visible", "nn_species", "nn_age")
 
 
 # viewsheds
@@ -486,7 +554,17 @@ def _(spark, sf):
 
 @query("viewshed_mean", f"WITH {o.steps()}, {o.DSM}, {_VIEW}, {_sight('vn', _VK, cell=('vr', 'vc'))} SELECT {S}, round(AVG(CASE WHEN visible THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS viewshed_vis FROM seen GROUP BY {S}")
 def _(spark, sf):
-    return shown(vs.visible_share(_view(spark, sf)))
+    return shown(vs.viewshed_share(steps(spark, sf), fx.dsm(spark), fx.layer(spark, "heights"), 2.0))
+
+
+@query("viewshed_by_map", f"""WITH {_MAPS}, vp AS (SELECT s.*, c.value + m + (1.5 - c.value / 10) + m AS za, CAST(floor((s.y - (30 - m)) / -0.5) AS BIGINT) AS r, CAST(floor((s.x - (-20 + m)) / 0.5) AS BIGINT) AS c FROM sm s LEFT JOIN dsm c ON c."row" = CAST(floor((s.y - (30 - m)) / -0.5) AS BIGINT) AND c.col = CAST(floor((s.x - (-20 + m)) / 0.5) AS BIGINT)),
+    vn AS (SELECT vp.*, r + drow AS vr, c + dcol AS vc, drow, dcol, d.value + m AS zb FROM vp, (SELECT unnest(range(-5, 6)) AS drow), (SELECT unnest(range(-5, 6)) AS dcol), dsm d WHERE d."row" = r + drow AND d.col = c + dcol AND d.value IS NOT NULL
+        AND pow(-20 + m + (c + dcol + 0.5) * 0.5 - x, 2) + pow(30 - m + (r + drow + 0.5) * -0.5 - y, 2) <= 4.0),
+    ln AS (SELECT *, greatest(abs(drow), abs(dcol)) AS n FROM vn), lk AS (SELECT *, unnest(range(1, n)) AS k FROM ln WHERE n > 1),
+    hid AS (SELECT DISTINCT {S}, drow, dcol FROM lk JOIN dsm d ON d."row" = lk.r + CAST(floor((2 * k * drow + n) / (2.0 * n)) AS BIGINT) AND d.col = lk.c + CAST(floor((2 * k * dcol + n) / (2.0 * n)) AS BIGINT) WHERE za + (zb - za) * k / n <= d.value + m)
+    SELECT {S}, round(AVG(CASE WHEN h.observation IS NULL AND za IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS viewshed_vis FROM ln LEFT JOIN hid h USING ({S}, drow, dcol) GROUP BY {S}""")
+def _(spark, sf):
+    return shown(vs.viewshed_share(_mapped(spark, sf), fx.map_layer(spark, sf), fx.map_layer(spark, sf, "heights"), 2.0), *STEP, "step_idx", "viewshed_vis")
 
 
 @query("viewshed_grid", f"WITH {o.steps()}, {o.DSM}, {_VIEW}, {_sight('vn', _VK, cell=('vr', 'vc'))} SELECT {S}, CAST(floor(drow / 3.0) AS BIGINT) AS bin_row, CAST(floor(dcol / 3.0) AS BIGINT) AS bin_col, round(AVG(CASE WHEN visible THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS mean FROM seen GROUP BY ALL")
@@ -494,6 +572,22 @@ def _(spark, sf):
     return shown(ra.binned(_view(spark, sf).withColumn("visible", F.col("visible").cast("double")), 3))
 
 
+_PLACES = f"""pl AS (SELECT CAST(0 AS BIGINT) AS observation, CAST(0 AS BIGINT) AS track, 0.0 AS offset_m, ROW_NUMBER() OVER (ORDER BY x, y) AS step_idx, x, y FROM (SELECT x, y FROM steps UNION SELECT x, y FROM sims)),
+{_VIEW.replace("FROM steps s", "FROM pl s")}"""
+
+
+@query("viewshed_driver", f"""WITH {o.simulated(SIMS, 'uniform', True)}, {_PLACES}, {_sight('vn', _VK, cell=('vr', 'vc'))}, sh AS (SELECT x, y, AVG(CASE WHEN visible THEN 1.0 ELSE 0.0 END) AS vis FROM seen JOIN pl USING (step_idx) GROUP BY 1, 2)
+    SELECT {K}, step_idx, CAST(-1 AS BIGINT) AS replicate, round(vis, 6) + 0.0 AS viewshed_vis FROM steps LEFT JOIN sh USING (x, y) UNION ALL SELECT {K}, target_step_index, replicate, round(vis, 6) + 0.0 FROM sims LEFT JOIN sh USING (x, y)""")
+def _(spark, sf):
+    s, folder = steps(spark, sf), store.new_folder(spark, "viewsheds")
+    sims = si.simulate(s, SIMS, layer=fx.dsm(spark)).withColumnRenamed("target_step_index", "step_idx")
+    kept = lambda points: vs.annotate(spark, points, folder, fx.dsm(spark), fx.layer(spark, "heights"), 2.0)
+    observed = kept(s.select(*STEP, "step_idx", F.lit(-1).cast("long").alias("replicate"), "x", "y"))
+    # the second run finds what the first has made
+    both = kept(observed.drop("viewshed_vis").unionByName(sims.select(*STEP, "step_idx", "replicate", "x", "y")))
+    return shown(both, *STEP, "step_idx", "replicate", "viewshed_vis")
+
+
 _VNAME = "'observation' || observation || '_track' || track || '_frame' || lpad(CAST(CAST(round_even(frame, 0) AS BIGINT) AS VARCHAR), 6, '0') || '_viewshed30m.tif'"
 _PLAN = f"vo AS (SELECT observation, track, offset_m, step_idx, CASE WHEN step_idx = 3 THEN NULL ELSE x END AS x, false AS is_simulated, {_VNAME} AS name FROM steps), vm AS (SELECT DISTINCT {_VNAME} AS name FROM steps WHERE track % 2 = 0), vq AS (SELECT vo.*, vm.name IS NOT NULL AS exists_, CASE WHEN x IS NULL THEN 'ignore' WHEN vm.name IS NOT NULL THEN 'reuse' ELSE 'create' END AS action FROM vo LEFT JOIN vm USING (name))"
 
@@ -669,6 +763,102 @@ def _(spark, sf):
     return ft.local_index(ft.complete(_observed(spark, sf), ["angle_to_observer"])).select(*STEP, "step_idx", "local_index")
 
 
+# the older loader
+
+_V1 = ["step_speed_mps", "dist_to_observer", "delta_observer_dist", "angle_to_observers"]
+_V1T = {"step_speed_mps": "ln(1 + step_speed_mps)", "dist_to_observer": "ln(1 + dist_to_observer)", "delta_observer_dist": "delta_observer_dist", "angle_to_observers": "angle_to_observer / 180"}
+
+
+def _older(spark, sf):
+    """(target, reference) in the older form: complete steps with ids, ground classes and ages."""
+    s = steps(spark, sf)
+    sims = si.simulate(s, SIMS)
+    observed, _ = si.with_ids(s, sims)
+    place = fx.observers(spark, sf)
+    target = ft.observed_features(s, place).join(observed.select(*STEP, "step_idx", "id"), [*STEP, "step_idx"])
+    reference = si.with_ids(s, ft.simulated_features(sims, s, place))[1]
+    meta = fx.track_metadata(spark, sf).select(*TRACK, F.col("age").alias("age_class"))
+    older = lambda rows: ra.with_ground_class(v1.observer_info(rows).join(meta, TRACK).withColumn("offset", F.col("offset_m").cast("long")), fx.layer(spark, "ground"))
+    return v1.prepared(older(target), older(reference), [*_V1, "age_class"], {"age_class": "age_"})
+
+
+_OLDER = f"""WITH {o.simfeat(SIMS)}, of0 AS (SELECT m.*, easting, northing FROM moves m JOIN obs USING (observation)), feat AS (SELECT {S}, frame, x, y, {o.features('of0')}), {o.TRACKS}, {o.DSM},
+    big AS (SELECT {K} FROM steps GROUP BY {K} HAVING COUNT(*) > 2),
+    tg AS (SELECT f.*, {_ID} AS id, age, {_CLASS} AS g FROM feat f JOIN meta USING (observation, track) LEFT JOIN dsm c ON {o.at('c', 'f.x', 'f.y')} WHERE age IS NOT NULL AND step_speed_mps IS NOT NULL AND angle_to_observer IS NOT NULL AND dist_to_observer IS NOT NULL AND delta_observer_dist IS NOT NULL),
+    rf AS (SELECT f.*, s2.frame, f.observation || '_' || f.track || '_f' || CAST(round_even(s2.frame, 0) AS BIGINT) AS base, age FROM simfeat f JOIN sims s2 USING ({K}, target_step_index, replicate) JOIN big USING ({K}) JOIN meta USING (observation, track)
+        WHERE age IS NOT NULL AND step_speed_mps IS NOT NULL AND angle_to_observer IS NOT NULL AND dist_to_observer IS NOT NULL AND delta_observer_dist IS NOT NULL),
+    bo AS ({" UNION ALL ".join(f"SELECT '{k}' AS feature, {v} AS v FROM {t}" for k, v in _V1T.items() for t in ("tg", "rf"))}),
+    st1 AS (SELECT feature, AVG(v) AS m, stddev_samp(v) AS s FROM bo GROUP BY 1)"""
+_V1Z = {k: f"({v} - (SELECT m FROM st1 WHERE feature = '{k}')) / (SELECT s FROM st1 WHERE feature = '{k}')" for k, v in _V1T.items()}
+
+
+@query("v1_prepared", f"{_OLDER} SELECT id, split_part(id, 'f', 1) AS track_id, ROW_NUMBER() OVER (PARTITION BY split_part(id, 'f', 1), offset_m ORDER BY frame, id) - 1 AS local_index, " + ", ".join(f"round({v}, 6) + 0.0 AS {k}_transformed" for k, v in _V1Z.items()) + ", CASE WHEN age = 'adult' THEN 1 ELSE 0 END::BIGINT AS age_adult, CASE WHEN g = 3 THEN 1 ELSE 0 END::BIGINT AS ground_tree FROM tg")
+def _(spark, sf):
+    target, _, names = _older(spark, sf)
+    assert "age_adult" in names["age_class"]
+    return shown(target, "id", "track_id", "local_index", *[f + "_transformed" for f in _V1], "age_adult", "ground_tree")
+
+
+@query("v1_items", f"""{_OLDER}, lo AS (SELECT *, ROW_NUMBER() OVER w - 1 AS local_index, SUM(z) OVER v AS context_sum, COUNT(z) OVER v AS n_context FROM (SELECT *, split_part(id, 'f', 1) AS track_id, {_V1Z['step_speed_mps']} AS z FROM tg)
+    WINDOW w AS (PARTITION BY track_id, offset_m ORDER BY frame, id), v AS (PARTITION BY track_id, offset_m ORDER BY frame, id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)),
+    rz AS (SELECT base || '_ob' AS target_id, base || '_sim-' || replicate AS id, {_V1Z['step_speed_mps']} AS z FROM rf),
+    rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_id ORDER BY {o.uniform('item', 'target_id', 'id')}, id) AS k, COUNT(*) OVER (PARTITION BY target_id) AS n FROM rz),
+    ra AS (SELECT target_id, SUM(z) AS reference_sum FROM rk WHERE k <= 2 AND n >= 2 GROUP BY 1)
+    SELECT lo.id, local_index, n_context, round(context_sum, 6) + 0.0 AS context_sum, round(z, 6) + 0.0 AS target_speed, round(reference_sum, 6) + 0.0 AS reference_sum FROM lo JOIN ra ON ra.target_id = lo.id WHERE local_index >= 2""")
+def _(spark, sf):
+    target, reference, _ = _older(spark, sf)
+    enough = reference.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    made = v1.items(target, reference.join(enough, "target_id", "left_semi"), ["step_speed_mps", "track_id"], ["step_speed_mps"], 2, 2)
+    total = lambda c: rounded(F.aggregate(c, F.lit(0.0), lambda a, v: a + F.get(v, 0)))
+    kept = made.join(enough.withColumnRenamed("target_id", "__t"), F.col("id") == F.col("__t"), "left_semi")
+    return kept.select("id", "local_index", F.size("context").cast("long").alias("n_context"), total("context").alias("context_sum"), rounded(F.get("target", 0)).alias("target_speed"), total("reference").alias("reference_sum"))
+
+
+@query("v1_track_onehot", f"{_OLDER} SELECT id, CASE WHEN split_part(id, 'f', 1) = '0_1_' THEN 1 ELSE 0 END::BIGINT AS track_0_1_ FROM tg")
+def _(spark, sf):
+    hot, names = v1.track_one_hot(_older(spark, sf)[0])
+    assert "track_0_1_" in names
+    return hot.select("id", "track_0_1_")
+
+
+@query("observer_info_v1", f"WITH {o.feat()} SELECT {S}, round(sqrt((10.0 + observation % 5 - x) * (10.0 + observation % 5 - x) + (5.0 + observation % 3 - y) * (5.0 + observation % 3 - y)), 6) + 0.0 AS dist_to_observer, {r('angle_to_observer')} FROM feat")
+def _(spark, sf):
+    return shown(v1.observer_info(_observed(spark, sf)).withColumnRenamed("angle_to_observers", "angle_to_observer"), *STEP, "step_idx", "dist_to_observer", "angle_to_observer")
+
+
+@query("targets_by_id", f"WITH {o.simulated(SIMS)}, big AS (SELECT {K} FROM steps GROUP BY {K} HAVING COUNT(*) > 2), ob AS (SELECT {K}, {_ID} AS id, LAG({_ID}) OVER (PARTITION BY {K} ORDER BY step_idx) AS prev_step FROM steps), sm1 AS (SELECT observation || '_' || track || '_f' || CAST(round_even(frame, 0) AS BIGINT) || '_ob' AS target_id FROM sims JOIN big USING ({K})) SELECT id, prev_step, COUNT(*) AS n FROM ob JOIN sm1 ON target_id = id GROUP BY 1, 2")
+def _(spark, sf):
+    s = steps(spark, sf)
+    observed, sims = si.with_ids(s, si.simulate(s, SIMS))
+    return observed.join(sims.select("target_id"), F.col("id") == F.col("target_id")).groupBy("id", "prev_step").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vocabulary_annotated", f"""WITH {o.steps()}, {o.NEIGHBOURS}, {_NN}, {o.TRACKS}, {o.DSM}, an AS (SELECT t.age AS nn_age, t.species AS nn_species, {_CLASS} AS ground_class FROM steps s LEFT JOIN nn n USING ({S}) LEFT JOIN meta t ON t.observation = s.observation AND t.track = n.neighbor_track LEFT JOIN dsm c ON {o.at('c', 's.x', 's.y')}),
+    al AS (SELECT DISTINCT 'nn_age' AS feature, coalesce(nn_age, '') AS value FROM an UNION SELECT DISTINCT 'nn_species', coalesce(nn_species, '') FROM an UNION SELECT DISTINCT 'ground_class', CAST(ground_class AS VARCHAR) FROM an)
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY value) - 1 AS idx FROM al""")
+def _(spark, sf):
+    rows = ra.with_ground_class(so.nearest(steps(spark, sf), fx.fixes(spark, sf), fx.track_metadata(spark, sf)), fx.layer(spark, "ground"))
+    return ft.vocabulary(rows, ["nn_age", "nn_species", "ground_class"])
+
+
+@query("files_discovered", "SELECT DISTINCT split_part(c_name || '_' || c_nationkey || '_tracks.npy', '_', 1) AS observation FROM customer")
+def _(spark, sf):
+    paths = fx.table(spark, sf, "customer").select(F.concat(F.lit("/raw/"), "c_name", F.lit("_"), F.col("c_nationkey").cast("string"), F.lit("_tracks.npy")).alias("path"))
+    return ca.observations_of_files(paths)
+
+
+@query("any_all_positions", f"WITH {o.FIXES} SELECT observation, track, bool_or(x IS NOT NULL) AS any_position, bool_and(x IS NOT NULL) AS all_positions FROM fixes GROUP BY 1, 2")
+def _(spark, sf):
+    there = F.col("x").isNotNull()
+    return fx.fixes(spark, sf).groupBy(*TRACK).agg(F.bool_or(there).alias("any_position"), F.bool_and(there).alias("all_positions"))
+
+
+@query("utm_names", f"WITH {_UTM} SELECT c_custkey, CASE WHEN lat BETWEEN -80 AND 84 THEN zone || substr('CDEFGHJKLMNPQRSTUVWXX', CAST(floor((lat + 80) / 8) AS INTEGER) + 1, 1) END AS utm_zone FROM utm JOIN u0 USING (c_custkey)")
+def _(spark, sf):
+    rows = _places(spark, sf).withColumns({"observer_easting": F.lit(None).cast("double"), "observer_northing": F.lit(None).cast("double")})
+    return ca.observer_position(rows).select("c_custkey", "utm_zone")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean speed of each track's observed steps over all offsets."""
     return avg_speed(spark, sf_dir)

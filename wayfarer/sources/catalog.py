@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,8 @@ RESERVED = ("track", "track_index", "frame", "location", "position")
 
 
 def label(name: Column) -> Column:
-    """ob12 and observation12, in any case, as observation12; other names as they are."""
+    """ob12 and observation12, in any case, as observation12; other names as they are, without blanks around them."""
+    name = F.trim(name)
     return F.when(name.rlike(r"(?i)^(ob|observation)\d+$"), F.concat(F.lit("observation"), F.regexp_extract(name, r"(\d+)$", 1))).otherwise(name)
 
 
@@ -34,11 +35,19 @@ def wanted_labels(names: Iterable[str | int]) -> set[str]:
 
 
 def observation_of(path: Column, pattern: str) -> Column:
-    """The observation's name from a file name, by a pattern with one group; null if it doesn't match."""
-    if re.compile(pattern).groups != 1:
-        raise ValueError("the pattern needs one group")
+    """The observation's name from a file name, by a pattern with one group, or one named obs; null if it doesn't match."""
+    compiled = re.compile(pattern)
+    if compiled.groups != 1 and "obs" not in compiled.groupindex:
+        raise ValueError("the pattern needs one group, or one named obs")
     name = F.element_at(F.split(path, "/"), -1)
-    return F.when(name.rlike(pattern), F.regexp_extract(name, pattern, 1))
+    spark_pattern = pattern.replace("(?P<", "(?<")
+    return F.when(name.rlike(spark_pattern), F.regexp_extract(name, spark_pattern, compiled.groupindex.get("obs", 1)))
+
+
+def observations_of_files(paths: DataFrame) -> DataFrame:
+    """observation: the distinct beginnings of the file names in paths(path), up to the first '_'; how older files are found."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return paths.select(F.split_part(name, F.lit("_"), F.lit(1)).alias("observation")).distinct()
 
 
 def safe_name(name: str) -> str:
@@ -52,16 +61,45 @@ def text(column: Column) -> Column:
 
 
 def attributes(row: DataFrame, *columns: str) -> Column:
-    """Free-form attributes as a JSON object of the columns that have a value."""
+    """Free-form attributes as a JSON object of the columns that have a value: NaN has none, dates are in ISO form."""
     require_columns(row, *columns)
-    return F.to_json(F.struct(*[F.col(c) for c in columns]))
-
-
-def read_tracks(spark: SparkSession, folder: str, pattern: str = r"^(.*?)[_.].*npy$") -> DataFrame:
+    kinds = dict(row.dtypes)
+    number = lambda c: F.when(~F.isnan(c), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
+    value = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kinds[c].startswith("timestamp") else F.date_format(c, "yyyy-MM-dd") if kinds[c] == "date" else number(c)
+    return F.to_json(F.struct(*[value(c).alias(c) for c in columns]))
+
+
+def described(rows: DataFrame, about: dict[str, dict[str, str]]) -> DataFrame:
+    """rows, whose columns in `about` carry its units and descriptions as metadata; they go along into Parquet files."""
+    require_columns(rows, *about)
+    return rows.select(*[F.col(c).alias(c, metadata={**rows.schema[c].metadata, **about[c]}) if c in about else F.col(c) for c in rows.columns])
+
+
+#: Units and descriptions of the columns that the engine adds.
+ABOUT = {
+    "step_length_m": {"units": "m", "description": "straight length of the step"},
+    "step_duration_s": {"units": "s", "description": "time between the step's frames"},
+    "step_speed_mps": {"units": "m/s", "description": "length by time"},
+    "dist_to_observer": {"units": "m", "description": "from the step's end to the observer"},
+    "delta_observer_dist": {"units": "m", "description": "by how much the distance to the observer grows"},
+    "angle_to_observer": {"units": "deg", "description": "between the step and the way to the observer"},
+    "heading_deg": {"units": "deg", "description": "from the x axis, counter-clockwise"},
+    "observer_height": {"units": "m", "description": "of the animal's head above the surface"},
+    "ground_slope_deg": {"units": "deg", "description": "rise of the ground along the step"},
+    "viewshed_vis": {"units": "1", "description": "share of the cells around that can be seen"},
+    "nn_distance_m": {"units": "m", "description": "to the nearest other animal"},
+    "social_density": {"units": "count", "description": "other animals within the radius"},
+}
+
+
+def read_tracks(spark: SparkSession, folder: str, pattern: str = r"^(.*?)[_.].*npy$", normalise: Callable[[Column], Column] = label) -> DataFrame:
     """fixes(observation, track, frame, x, y) from .npy files of shape (tracks, frames, 2) or (frames, 2); NaN is null.
 
-    Files whose name doesn't match are left out; a file of another shape raises."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).withColumn("observation", label(observation_of(F.col("path"), pattern))).where("observation is not null")
+    normalise makes labels of the names found. Files whose name doesn't match are left out; a folder without any that
+    does, or a file of another shape, raises."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).withColumn("observation", normalise(observation_of(F.col("path"), pattern))).where("observation is not null")
+    if files.select("path").isEmpty():
+        raise ValueError(f"no .npy file in {folder} has a name like {pattern}")
 
     def rows(batches):
         for batch in batches:
@@ -82,7 +120,9 @@ def read_metadata(spark: SparkSession, path: str, required: list[str], keep: lis
     """A CSV file with a header: the required columns and those in keep (all by default), observations as labels."""
     rows = require_columns(spark.read.csv(path, header=True, inferSchema=True), *required)
     names = [c for c in rows.columns if keep is None or c in required or c in keep]
-    return rows.select(*[label(F.col(c).cast("string")).alias(c) if c == "observation" else F.col(c).alias(c if c in required else safe_name(c)) for c in names])
+    kept = {"observation": lambda c: label(c.cast("string")), "track": lambda c: c.cast("long")}
+    own = lambda c: kept[c](F.col(c)) if c in required and c in kept else F.col(c)
+    return rows.select(*[own(c).alias(c if c in required else safe_name(c)) for c in names])
 
 
 def write_table(rows: DataFrame, path: str, by: list[str]) -> str:
@@ -116,22 +156,33 @@ def unique_join(rows: DataFrame, lookup: DataFrame, key: list[str]) -> DataFrame
     """rows with the columns of lookup, which must have each key once."""
     if not lookup.groupBy(*key).count().where("count > 1").isEmpty():
         raise ValueError(f"lookup has a key {key} more than once")
-    return rows.join(F.broadcast(lookup), key)
+    return rows.join(lookup, key)
 
 
 def observer_position(observers: DataFrame) -> DataFrame:
     """observers with easting and northing: their own, else by UTM from latitude and longitude in degrees."""
     east, north = g.utm(F.col("observer_lat"), F.col("observer_lon"))
     degrees = F.col("observer_lat").between(-90, 90) & F.col("observer_lon").between(-180, 180)
-    return observers.withColumns({"easting": F.coalesce("observer_easting", F.when(degrees, east)), "northing": F.coalesce("observer_northing", F.when(degrees, north))})
-
-
-def track_rows(rows: DataFrame, track: int | str, labels: DataFrame | None = None) -> DataFrame:
-    """Rows of a track by number, or by label in labels(observation, track, track_label); raises if there are none."""
-    found = rows.where(F.col("track") == track) if isinstance(track, int) else rows.join(labels.where(F.col("track_label") == track).select(*TRACK), TRACK, "left_semi")
-    if found.isEmpty():
-        raise ValueError(f"no track {track!r}")
-    return found
+    made = observers.withColumns({"easting": F.coalesce("observer_easting", F.when(degrees, east)), "northing": F.coalesce("observer_northing", F.when(degrees, north))})
+    zone, letter = g.utm_zone(F.col("observer_lon")), g.utm_letter(F.col("observer_lat"))
+    return made.withColumns({"utm_zone_number": F.when(degrees, zone), "utm_zone_letter": F.when(degrees, letter), "utm_zone": F.when(degrees, F.concat(zone.cast("string"), letter))})
+
+
+def track_rows(rows: DataFrame, tracks: int | str | list[int | str], labels: DataFrame | None = None) -> DataFrame:
+    """Rows of tracks by number, or by label in labels(observation, track, track_label); raises for one that has no rows."""
+    wanted = [tracks] if isinstance(tracks, (int, str)) else list(tracks)
+    numbers, names = [t for t in wanted if isinstance(t, int)], [t for t in wanted if isinstance(t, str)]
+    if names and labels is None:
+        raise ValueError("labels are needed to find tracks by name")
+    asked = rows.sparkSession.createDataFrame([(str(t), t if isinstance(t, int) else None, t if isinstance(t, str) else None) for t in wanted], "asked string, number long, name string")
+    known = rows.select(*TRACK).distinct().withColumn("track_label", F.lit(None).cast("string"))
+    if names:
+        known = known.drop("track_label").join(labels.select(*TRACK, "track_label"), TRACK, "left")
+    met = known.join(asked, (F.col("track") == F.col("number")) | (F.col("track_label") == F.col("name"))).select(*TRACK, "asked")
+    there = {r["asked"] for r in met.select("asked").distinct().collect()}  # no more than were asked for
+    if lacking := [t for t in wanted if str(t) not in there]:
+        raise ValueError(f"no track {lacking}")
+    return rows.where(F.col("track").isin(numbers)) if not names else rows.join(met.select(*TRACK).distinct(), TRACK, "left_semi")
 
 
 def thinned(fixes: DataFrame, most: int, frames: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.raster import Layer
+from ..operators.raster import Layer, MapLayer
 
 WIDTH, HEIGHT = 130, 100
 
@@ -52,6 +52,15 @@ def layer(spark: SparkSession, name: str) -> Layer:
     return dsm(spark).mapped(value)
 
 
+def map_layer(spark: SparkSession, sf_dir: str, name: str = "dsm") -> MapLayer:
+    """A layer() per region: the k-th lies k metres further right and lower, and is k higher."""
+    maps = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("big_map"))
+    one = layer(spark, name)
+    cells = one.cells.crossJoin(F.broadcast(maps)).select("big_map", "row", "col", (F.col("value") + F.col("k")).alias("value"))
+    grid = {"origin_x": one.origin_x + F.col("k"), "origin_y": one.origin_y - F.col("k"), "cell_x": F.lit(one.cell_x), "cell_y": F.lit(one.cell_y), "width": F.lit(one.width), "height": F.lit(one.height)}
+    return MapLayer(cells, maps.select("big_map", *[v.alias(k) for k, v in grid.items()]))
+
+
 def observers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """observation, easting, northing, big_map."""
     known = fixes(spark, sf_dir).select("observation").distinct()
