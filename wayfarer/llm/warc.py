@@ -2,8 +2,8 @@
 
 Pages are range-partitioned and sorted by their key, the URL with its host reversed. Each task writes an archive of
 gzip members and, beside it, the index of its captures: sorted lines in compressed blocks. The sparse directory has
-a row per block: its first and last key, file, offset and length. A lookup finds the shard by binary search in the
-shards' bounds, the blocks by the directory, and the line by binary search in the block; then it reads byte ranges.
+a row per block: its first and last key, file, offset and length. A lookup finds the range of the directory by binary
+search, the blocks along the sorted range, and the line by binary search in the block; then it reads byte ranges.
 A task that is run again writes new files; only files that the stored directory names are ever read.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate, groupby
 
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .common import new_path, stored, table, text_bytes
 
@@ -27,6 +28,7 @@ LEAST_REVISIT = 100  # payloads of fewer bytes are always stored
 BLOCK_LINES = 256
 SHARD_ROWS = 20_000
 BROADCAST_ROWS = 100_000
+RANGES = 4096  # the most that a directory is parted into for lookups
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -175,31 +177,85 @@ def read_archives(directory: DataFrame, payloads: bool = False) -> DataFrame:
     return directory.repartition(parts, "index", "offset").mapInArrow(run, _RECORD_DDL + (", payload binary" if payloads else ""))
 
 
-def lookup(directory: DataFrame, urls: DataFrame) -> DataFrame:
-    """urls(url) -> wanted, the key, and the records of all captures under it, payloads included; unknown URLs have no row.
+def _ranges(directory: DataFrame) -> list[bytes]:
+    """Keys that part the directory into at most RANGES ranges of like numbers of shards: a list of bounded size."""
+    shards = directory.groupBy("shard").agg(F.min("first_key").alias("low"))
+    step = max(1, -(-shards.count() // RANGES))
+    return sorted({r["low"].encode() for r in shards.where(F.col("shard") % step == 0).select("low").collect()})
 
-    Only the bounds of shards come to the driver; keys meet the blocks that can hold them in a join within the shard.
-    """
-    bounds = directory.groupBy("shard").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).orderBy("shard").collect()
-    keys = urls.select(surt().alias("wanted")).distinct()
-    at = F.udf(lambda k: [b["shard"] for b in bounds[max(0, bisect_left([b["high"].encode() for b in bounds], k.encode())) :] if b["low"].encode() <= k.encode() <= b["high"].encode()], "array<int>")
-    pairs = keys.withColumn("shard", F.explode(at("wanted"))).join(directory, "shard").where("wanted between first_key and last_key")
 
-    def run(batches):
+def _found(directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """wanted and the row of each block that can hold it, for each distinct key of urls.
+
+    Keys and blocks are dealt to the directory's ranges by binary search, a block to all that it touches, and sorted
+    there. A task goes along both and holds one block: the one before a key is the only one that begins before it and
+    can end behind it; those that begin with it follow."""
+    bounds = _ranges(directory)
+    blocks = [f for f in directory.schema.names if f not in ("first_key", "last_key")]
+
+    def dealt(batches):
         for batch in batches:
-            for block in batch.to_pylist():
-                store, root = _store(block["folder"])
-                lines, wanted = _lines(store, root, block), block["wanted"]
-                k = bisect_left([x[0].encode() for x in lines], wanted.encode())
-                ranges = []
-                while k < len(lines) and lines[k][0] == wanted:
-                    ranges.append((int(lines[k][1]), int(lines[k][2])))
-                    k += 1
-                found = list(_members(store, root, block["archive"], ranges))
-                yield pa.RecordBatch.from_arrays([pa.array([wanted] * len(found), pa.string()), *[pa.array([x[c] for x in found], t) for c, t in _RECORD.items()]], ["wanted", *_RECORD])
+            low = [bisect_right(bounds, x.encode()) for x in batch.column("key").to_pylist()]
+            high = [bisect_right(bounds, x.encode()) for x in batch.column("last_key").to_pylist()]
+            at = [k for k, (a, b) in enumerate(zip(low, high, strict=True)) for _ in range(a, b + 1)]
+            part = [p for a, b in zip(low, high, strict=True) for p in range(a, b + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *[c.take(pa.array(at, pa.int64())) for c in batch.columns]], ["part", *batch.schema.names])
+
+    keys = urls.select(surt().alias("key")).distinct().select("key", F.col("key").alias("last_key"), F.lit(0).alias("kind"), *[F.lit(None).cast(directory.schema[c].dataType).alias(c) for c in blocks])
+    both = keys.unionByName(directory.withColumnRenamed("first_key", "key").withColumn("kind", F.lit(1)))
+    sorted_ = both.mapInArrow(dealt, StructType([StructField("part", IntegerType()), *both.schema.fields])).repartition(max(len(bounds) + 1, urls.sparkSession.sparkContext.defaultParallelism), "part").sortWithinPartitions("part", "key", "kind", "index", "offset")
+
+    def met(batches):
+        part = wanted = block = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    part, wanted, block = row["part"], None, None
+                if row["kind"] == 0:
+                    wanted = row["key"]
+                    if block and block["last_key"].encode() >= wanted.encode():
+                        out.append({**block, "wanted": wanted})
+                else:
+                    block = row
+                    if wanted == row["key"]:
+                        out.append({**block, "wanted": wanted})
+            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("wanted", *blocks)} for r in out], schema=pa.schema([("wanted", pa.string()), *[(c, batch.schema.field(c).type) for c in blocks]]))
+
+    return sorted_.mapInArrow(met, StructType([StructField("wanted", StringType()), *[directory.schema[c] for c in blocks]]))
+
+
+def lookup(directory: DataFrame, urls: DataFrame, payloads: bool = True) -> DataFrame:
+    """urls(url) -> wanted, the key, and the records of all captures under it; unknown URLs have no row.
+
+    Keys meet the blocks that can hold them along the sorted directory; the key's lines are found in the block by
+    binary search, and only their byte ranges are read. Keys that share a block are read one after the other."""
+    names = [k for k in _RECORD if payloads or k != "payload"]
+    found = _found(directory, urls)
+    pairs = found.repartition(max(urls.sparkSession.sparkContext.defaultParallelism, directory.count() // 64), "index", "offset").sortWithinPartitions("index", "offset", "wanted")
 
-    return pairs.mapInArrow(run, f"wanted string, {_RECORD_DDL}, payload binary")
+    def run(batches):
+        last = lines = keys = None
+        for batch in batches:
+            for at, own in groupby(batch.to_pylist(), key=lambda b: (b["folder"], b["index"], b["offset"])):
+                own = list(own)
+                store, root = _store(own[0]["folder"])
+                if at != last:
+                    last, lines = at, _lines(store, root, own[0])
+                    keys = [x[0].encode() for x in lines]
+                wanted, ranges = [], []
+                for block in own:
+                    key = block["wanted"].encode()
+                    for _, begin, length in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
+                        wanted.append(block["wanted"])
+                        ranges.append((int(begin), int(length)))
+                found = list(_members(store, root, own[0]["archive"], ranges))
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.string()), *[pa.array([x[c] for x in found], _RECORD[c]) for c in names]], ["wanted", *names])
+
+    return pairs.mapInArrow(run, f"wanted string, {_RECORD_DDL}" + (", payload binary" if payloads else ""))
 
 
 def op6_warc(spark, sf_dir):
-    return read_archives(write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page written, and found again by its URL's key."""
+    pages = table(spark, sf_dir, "pages")
+    return lookup(write_archives(pages), pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
