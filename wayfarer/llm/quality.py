@@ -32,6 +32,8 @@ P = len(STATISTICS)
 HALF_CHI2 = 4.3515  # median of chi-squared with 5 degrees of freedom
 COVER, STEPS, BINS, FIXED_POINT = 0.75, 12, 16, 1024  # STEPS: the most; they end when no determinant shrinks by TOLERANCE
 TOLERANCE = 0.001
+FIT_TASKS = 8  # estimates are a row per pool and start
+BROADCAST_FITS = 100_000  # as many estimates of some 350 bytes are sent to all executors; more are joined
 SHARES = (101, 102)  # seeds of the shares of vectors that starts are drawn from, one in SHARE_OF
 SHARE_OF = 8
 FALSE_REJECTION = 1e-14  # of vectors whose statistics are normal: under one in the largest corpora
@@ -123,6 +125,12 @@ def _estimate(n: pd.Series, sums: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["mean", "inverse", "logdet"])
 
 
+def _sent(fit: DataFrame) -> DataFrame:
+    """A stored table with a row per pool, for a join that leaves the other side where it is if the table is small: a pool
+    may hold all rows."""
+    return F.broadcast(fit) if fit.count() <= BROADCAST_FITS else fit
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance of v (fixed point) under mean and inverse."""
     d = [F.col("v")[i] / FIXED_POINT - F.col("mean")[i] for i in range(P)]
@@ -138,10 +146,11 @@ def _moments(rows: DataFrame, *by: str) -> DataFrame:
 _SUMS = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in _PAIRS]
 
 
-def _fitted(moments: DataFrame) -> DataFrame:
+def _fitted(moments: DataFrame, before: Column) -> DataFrame:
+    """pool, start, mean, inverse, logdet of the moments, and before, the determinant that the start had."""
     estimate = F.pandas_udf(_estimate, "mean array<double>, inverse array<double>, logdet double")
-    fit = moments.withColumn("fit", estimate("n", F.array(*[F.col(c).cast("double") for c in _SUMS])))
-    return fit.select("pool", "start", F.col("fit.mean").alias("mean"), F.col("fit.inverse").alias("inverse"), F.col("fit.logdet").alias("logdet"))
+    fit = moments.coalesce(FIT_TASKS).withColumn("fit", estimate("n", F.array(*[F.col(c).cast("double") for c in _SUMS])))
+    return fit.select("pool", "start", F.col("fit.mean").alias("mean"), F.col("fit.inverse").alias("inverse"), F.col("fit.logdet").alias("logdet"), before.alias("before"))
 
 
 def _centre(vectors: DataFrame) -> DataFrame:
@@ -155,14 +164,14 @@ def _centre(vectors: DataFrame) -> DataFrame:
     each = each.withColumn("weight", 1 / (F.pow(F.col("quartiles") / 1.349, 2) + spread * spread))
     gathered = each.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("i", "middle", "weight"))).alias("d"))
     inverse = F.array(*[F.col("d")[i]["weight"] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    return gathered.select("pool", F.lit(0).alias("start"), F.transform("d", lambda x: x["middle"]).alias("mean"), inverse.alias("inverse"), F.lit(math.inf).alias("logdet"))
+    return gathered.select("pool", F.lit(0).alias("start"), F.transform("d", lambda x: x["middle"]).alias("mean"), inverse.alias("inverse"), F.lit(math.inf).alias("logdet"), F.lit(math.inf).alias("before")).coalesce(FIT_TASKS)
 
 
 def _drawn(vectors: DataFrame) -> DataFrame:
     """The other starts: moments of all vectors, and of shares drawn by hash."""
     shares = [F.when(F.pmod(F.xxhash64(F.lit(seed), "v"), F.lit(SHARE_OF)) == 0, k) for k, seed in enumerate(SHARES, 2)]
     dealt = vectors.withColumn("start", F.explode(F.array_compact(F.array(F.lit(1), *shares))))
-    return _fitted(_moments(dealt, "pool", "start")).withColumn("logdet", F.lit(math.inf))
+    return _fitted(_moments(dealt, "pool", "start"), F.lit(math.inf)).withColumn("logdet", F.lit(math.inf))
 
 
 def _bin() -> Column:
@@ -171,11 +180,11 @@ def _bin() -> Column:
 
 def _concentrated(vectors: DataFrame, fit: DataFrame) -> DataFrame:
     """One step from each start: moments of the COVER share of vectors that lie closest (whole distance bins), refitted."""
-    binned = vectors.join(fit, "pool").select("pool", "start", "v", _bin())
+    binned = vectors.join(_sent(fit), "pool").select("pool", "start", "logdet", "v", _bin())
     own = Window.partitionBy("pool", "start").orderBy("bin")
-    moments = _moments(binned, "pool", "start", "bin").withColumn("below", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    moments = _moments(binned, "pool", "start", "logdet", "bin").withColumn("below", F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     moments = moments.withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start"))).where(F.col("below") < COVER * F.col("all"))
-    return _fitted(moments.groupBy("pool", "start").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]))
+    return _fitted(moments.groupBy("pool", "start").agg(F.first("logdet").alias("before"), *[F.sum(c).alias(c) for c in ("n", *_SUMS)]), F.col("before"))
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
@@ -183,10 +192,8 @@ def estimates(vectors: DataFrame) -> DataFrame:
     fit = stored(_centre(vectors).unionByName(_drawn(vectors)), "quality-fit")
     for _ in range(STEPS):
         last, fit = fit, stored(_concentrated(vectors, fit), "quality-fit")
-        before = last.select("pool", "start", F.col("logdet").alias("before"))
-        still = fit.join(before, ["pool", "start"]).where(F.col("before") - F.col("logdet") > TOLERANCE).isEmpty()
         forget(last)
-        if still:
+        if fit.where(F.col("before") - F.col("logdet") > TOLERANCE).isEmpty():
             break
     best = fit.groupBy("pool").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("x"))
     return stored(best.select("pool", "x.mean", "x.inverse"), "quality-best")
@@ -206,12 +213,13 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, min_pool: int = MIN_POOL) ->
     vectors = rows.where("not base_failed").select("v", F.explode("pools").alias("pool"))
     fit = estimates(vectors)
     own = Window.partitionBy("pool")
-    cells = vectors.join(fit, "pool").groupBy("pool", _bin()).agg(F.count(F.lit(1)).alias("n"))
+    cells = vectors.join(_sent(fit), "pool").groupBy("pool", _bin()).agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("all", F.sum("n").over(own)).withColumn("up", F.sum("n").over(own.orderBy("bin")))
     scale = cells.groupBy("pool").agg(F.max("all").alias("n"), (F.exp((F.min(F.when(F.col("up") >= 0.5 * F.col("all"), F.col("bin"))) + 1) / BINS) / HALF_CHI2).alias("scale"))
     # statistics that hardly vary leave small distances, which are not stretched
     pools = stored(fit.join(scale.where(F.col("n") >= min_pool), "pool").withColumn("scale", F.greatest("scale", F.lit(1.0))), "quality-pools")
     named = rows.select("*", *[F.col("pools")[k].alias(f"pool{k}") for k in range(3)])
+    pools = _sent(pools)
     for k in range(3):
         named = named.join(pools.select(F.col("pool").alias(f"pool{k}"), F.struct("mean", "inverse", "scale").alias(f"fit{k}")), f"pool{k}", "left")
     best = F.coalesce("fit0", "fit1", "fit2")
