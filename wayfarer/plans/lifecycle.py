@@ -59,6 +59,7 @@ class Settings:
     sight_range: float | None = None
     sight_most: int | None = None
     viewshed_radius: float = 30.0
+    curvature: float = vs.CURVATURE
     fps: float = ft.FPS
 
 
@@ -97,7 +98,7 @@ def preprocess(fixes: DataFrame, observers: DataFrame, tracks: DataFrame, raster
         rows = ra.sample(rows, rasters.heights, "observer_height")
         rows = ra.with_slope(rows, rasters.dtm, "step_length_m")
         rows = ra.with_ground_class(rows, rasters.ground, ground_names)
-        return vs.annotate(spark, rows, f"{out}/viewsheds", rasters.dsm, rasters.heights, settings.viewshed_radius)
+        return vs.annotate(spark, rows, f"{out}/viewsheds", rasters.dsm, rasters.heights, settings.viewshed_radius, curvature=settings.curvature)
 
     social = so.annotated(seen, fixes, tracks, rasters.dsm, rasters.heights, settings.social_radius, settings.sight_range, settings.sight_most)
     observed = on_ground(social.join(tracks, TRACK, "left"))

@@ -613,6 +613,25 @@ def _(spark, sf):
     return vs.still_to_make(points, points.where("track % 2 = 0")).select(*STEP, "step_idx", "name")
 
 
+_PREVIEW = f"""pa AS (SELECT observation, track, offset_m, step_idx, CAST(round_even(frame, 0) AS BIGINT) AS frame, false AS is_simulated, CAST(NULL AS BIGINT) AS replicate FROM steps UNION ALL SELECT observation, track, offset_m, target_step_index, CAST(round_even(frame, 0) AS BIGINT), true, replicate FROM sims),
+    pb AS (SELECT *, 'observation' || observation AS observation_id, CASE WHEN track % 3 = 0 THEN 'track_unknown' ELSE 'track' || lpad(track::VARCHAR, 3, '0') END AS track_tag FROM pa),
+    pc AS (SELECT *, observation_id || '_' || track_tag || '_frame' || lpad(frame::VARCHAR, 6, '0') || CASE WHEN is_simulated THEN '_rep' || replicate ELSE '' END || '_viewshed30m.tif' AS file FROM pb),
+    pd AS (SELECT *, '/v/' || observation_id || CASE WHEN is_simulated THEN '/steps_5m/' || track_tag || '/simulated/offset_0m/' ELSE '/' || track_tag || '/observed/' END || file AS tif_path, frame % 2 = 0 AS exists_ FROM pc),
+    pe AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY observation_id, is_simulated, offset_m ORDER BY track, step_idx, replicate NULLS FIRST) AS k FROM pd)"""
+
+
+@query("viewshed_preview_paths", f"WITH {o.simulated(SIMS)}, {_PREVIEW} SELECT observation_id, is_simulated, track AS track_index, step_idx, track_tag, frame, replicate, 30.0::DOUBLE AS radius_m, tif_path, exists_, CASE WHEN NOT exists_ THEN 'create' WHEN is_simulated THEN 'ignore' ELSE 'reuse' END AS action, CASE WHEN NOT exists_ THEN 'will create (missing)' WHEN is_simulated THEN 'exists but reuse=False' ELSE 'reusing existing file' END AS reason FROM pe WHERE k <= 50")
+def _(spark, sf):
+    s = steps(spark, sf)
+    sims = si.simulate(s, SIMS).select(*STEP, F.col("target_step_index").alias("step_idx"), "frame", F.lit(True).alias("is_simulated"), "replicate")
+    name = F.concat(F.lit("observation"), F.col("observation").cast("string"))
+    label = F.when(F.col("track") % 3 == 0, F.concat(name, F.lit("_"))).when(F.col("track") % 3 == 1, F.concat(name, F.lit("_track"), F.lpad(F.col("track").cast("string"), 3, "0"))).otherwise(F.concat(F.lit("track"), F.lpad(F.col("track").cast("string"), 3, "0")))
+    points = s.select(*STEP, "step_idx", "frame", F.lit(False).alias("is_simulated"), F.lit(None).cast("long").alias("replicate")).unionByName(sims).withColumn("track_label", label)
+    made = vs.preview(points, spark.createDataFrame([], "tif_path string"), "/v", 30.0, dataset="steps_5m", limit=None).where("frame % 2 = 0")
+    shown_ = vs.preview(points, made, "/v", 30.0, dataset="steps_5m", limit=50)
+    return shown_.select("observation_id", "is_simulated", "track_index", "step_idx", "track_tag", "frame", "replicate", "radius_m", "tif_path", F.col("exists").alias("exists_"), "action", "reason")
+
+
 @query("length_tags", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size // 2 || 'm' ELSE p_size // 2 || 'p5m' END AS tag FROM part")
 def _(spark, sf):
     return fx.table(spark, sf, "part").select("p_partkey", vs.length_tag(F.col("p_size") / 2).alias("tag"))
