@@ -5,10 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only on a local master."""
     if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # a local cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfarer-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -97,3 +99,20 @@ def freeing(run: Callable) -> Callable:
             ctypes.CDLL(None).malloc_trim(0)
 
     return freed
+
+
+_BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_powers = np.ones(1, np.uint64)
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of codes, bytes or code points, that begin at starts and follow each other; none is empty."""
+    global _powers
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if sizes.max() > len(_powers):
+        _powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * int(sizes.max()), _BASE, np.uint64))])
+    x = (codes.astype(np.uint64) + np.uint64(1)) * _MIX1
+    x = (x ^ (x >> np.uint64(31))) * _powers[np.arange(len(codes)) - np.repeat(starts, sizes)]
+    x = (np.add.reduceat(x, starts) + sizes.astype(np.uint64)) * _MIX2
+    return x ^ (x >> np.uint64(32))

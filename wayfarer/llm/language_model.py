@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_or_empty
+from .common import run_hashes, slices, stored, table, text_or_empty
 
 END = b" "  # no word: words hold no space
 HEAD, CLASS_WORDS, TAIL_CLASSES, HIDDEN = 2048, 64, 64, 24
@@ -62,14 +62,26 @@ def _tail_classes() -> np.ndarray:
     return np.array([tail_class(bytes([k >> 8, k & 255])) for k in range(1 << 16)] + [tail_class(bytes([k])) for k in range(256)], np.int32)
 
 
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the words' bytes one after the other, where each begins and the last one ends)."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    data, edges = _bytes(words)
+    return run_hashes(data, edges[:-1], np.diff(edges)).view(np.int64)
+
+
 def _numbered(words: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
     """Input numbers of words: head words by rank, others by their class after those; one more, for the end, comes last."""
     head = len(vocabulary.head)
     place = pc.fill_null(pc.index_in(words, value_set=pa.array(vocabulary.head, pa.binary())), -1).to_numpy()
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
-    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
-    last, before = data[ends[1:] - 1].astype(np.int64), data[np.maximum(ends[1:] - 2, 0)].astype(np.int64)
-    tail = _tail_classes()[np.where(np.diff(ends) > 1, before << 8 | last, (1 << 16) + last)]
+    data, edges = _bytes(words)
+    last, before = data[edges[1:] - 1].astype(np.int64), data[np.maximum(edges[1:] - 2, 0)].astype(np.int64)
+    tail = _tail_classes()[np.where(np.diff(edges) > 1, before << 8 | last, (1 << 16) + last)]
     return np.append(np.where(place >= 0, place, head + tail), 0).astype(np.int32)
 
 
@@ -152,11 +164,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _centred(logits: np.ndarray, spread: float, top: float) -> np.ndarray:
-    """logits less what keeps their exponentials in range: one number where they lie within spread of top, as states lie
-    in [-1, 1], else each row's largest."""
-    logits -= top if spread < 60 else logits.max(axis=1, keepdims=True)
-    return logits
+class _Outputs:
+    """One group of outputs over states in [-1, 1]: weights by column, and the biases' exponentials, which stand outside
+    those of the states where the weights keep these in range; else the biases go in, and each row's largest is taken off."""
+
+    def __init__(self, weights: np.ndarray, biases: np.ndarray):
+        self.weights, self.biases = weights, biases - biases.max()
+        self.narrow = float(np.abs(weights).sum(axis=0).max()) < 30
+        self.factors = np.exp(self.biases) if self.narrow else np.ones_like(biases)
+
+    def __call__(self, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log probabilities of the targets, exponentials, their sums with the factors)."""
+        e = states @ self.weights
+        if not self.narrow:
+            e += self.biases
+            e -= e.max(axis=1, keepdims=True)
+        picked = e[np.arange(len(e)), target]
+        if self.narrow:
+            picked += self.biases[target]
+        np.exp(e, out=e)
+        total = e @ self.factors
+        return picked - np.log(total), e, total
 
 
 class Network:
@@ -175,11 +203,11 @@ class Network:
         out = np.empty((*inputs.shape, n), table.dtype)
         for t in range(len(inputs)):
             h = h * go_on[t][:, None]
-            x = table[inputs[t]]
+            x = table.take(inputs[t], axis=0)
             gates = h @ u_gates
             gates += x[:, : 2 * n]
             gates = _sigmoid(gates)
-            z, r = gates[:, :n], gates[:, n:]
+            z, r = gates[:, :n].copy(), gates[:, n:].copy()
             new = (r * h) @ u_new
             new += x[:, 2 * n :]
             np.tanh(new, out=new)
@@ -196,80 +224,86 @@ class Network:
         p = self.p
         # by class from here on: a class's rows follow each other
         order = np.argsort(self.class_of(target).astype(np.uint16), kind="stable")
-        states, target = states[order], target[order]
+        states, target = states.take(order, axis=0), target[order]
         c = self.class_of(target)
-        rows = np.arange(len(target))
-        spread = np.abs(p["c"]).sum(axis=0)
-        wide, top = 2 * float(spread.max()), float((p["cb"] + spread).max())
-        score = np.empty(len(target), states.dtype)
+        score = np.empty(len(order), states.dtype)
         slope = np.empty_like(states) if grads is not None else None
-        for a in range(0, len(target), BLOCK):  # what a block needs stays in a core's cache
-            s, own, own_rows = states[a : a + BLOCK], c[a : a + BLOCK], rows[: len(c[a : a + BLOCK])]
-            logits = s @ p["c"]
-            logits += p["cb"]
-            e = _centred(logits, wide, top)
-            picked = e[own_rows, own]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            score[a : a + BLOCK] = picked - np.log(total)
+        classes = _Outputs(p["c"], p["cb"])
+        back = np.ascontiguousarray(p["c"].T)
+        for a in range(0, len(order), BLOCK):  # what a block needs stays in a core's cache
+            at = slice(a, a + BLOCK)
+            score[at], e, total = classes(states[at], c[at])
             if grads is not None:
-                e /= total[:, None]
-                e[own_rows, own] -= 1
-                grads["c"] += s.T @ e
-                grads["cb"] += e.sum(axis=0)
-                slope[a : a + BLOCK] = e @ p["c"].T
-        edges = np.searchsorted(c, np.arange(self.classes + 1)).tolist()
-        spread = np.abs(p["w"]).sum(axis=1).reshape(self.classes, -1)
-        tops, spreads = (p["wb"].reshape(self.classes, -1) + spread).max(axis=1).tolist(), (2 * spread.max(axis=1)).tolist()
-        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if a == b:
-                continue
-            at = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            s, own, w = states[a:b], rows[: b - a], target[a:b] - k * CLASS_WORDS
-            logits = s @ p["w"][at].T
-            logits += p["wb"][at]
-            e = _centred(logits, spreads[k], tops[k])
-            score[a:b] += e[own, w]
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            score[a:b] -= np.log(total)
+                share = 1 / total
+                grads["c"] += ((states[at] * share[:, None]).T @ e) * classes.factors
+                grads["cb"] += (share @ e) * classes.factors
+                slope[at] = e @ (back * classes.factors[:, None])
+                slope[at] *= share[:, None]
+        edges = np.searchsorted(c, np.arange(self.classes + TAIL_CLASSES + 1))
+        if grads is not None:
+            used = np.flatnonzero(np.diff(edges))
+            grads["c"][:, used] -= np.add.reduceat(states, edges[used], axis=0).T
+            grads["cb"] -= np.diff(edges)
+            slope -= back.take(c, axis=0)
+        for k in np.flatnonzero(np.diff(edges[: self.classes + 1])).tolist():
+            rows, at = slice(edges[k], edges[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+            s, own = states[rows], target[rows] - k * CLASS_WORDS
+            words = _Outputs(p["w"][at].T, p["wb"][at])
+            found, e, total = words(s, own)
+            score[rows] += found
             if grads is not None:
+                e *= words.factors
                 e /= total[:, None]
-                e[own, w] -= 1
+                e[np.arange(len(own)), own] -= 1
                 grads["w"][at] += e.T @ s
-                grads["wb"][at] += e.sum(axis=0)
-                slope[a:b] += e @ p["w"][at]
-        back = np.empty_like(order)
-        back[order] = rows
-        return score[back], None if slope is None else slope[back]
+                grads["wb"][at] += np.ones(len(own), e.dtype) @ e
+                slope[rows] += e @ p["w"][at]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return score[place], None if slope is None else slope.take(place, axis=0)
 
     def back(self, inputs: np.ndarray, go_on: np.ndarray, kept: list, slope: np.ndarray, grads: dict) -> None:
         """Backpropagation through one window; nothing flows back past its begin."""
         n, u = HIDDEN, self.p["u"]
-        gates_back, new_back = u[:, : 2 * n].T.copy(), u[:, 2 * n :].T.copy()
+        keep_back, reset_back, new_back = (u[:, k * n : (k + 1) * n].T.copy() for k in range(3))
         dx = np.empty((*inputs.shape, 3 * n), slope.dtype)
         dh = np.zeros_like(slope[0])
+        work = np.empty_like(dh)
         for t in range(len(inputs) - 1, -1, -1):
             h, z, r, new = kept[t]
-            dh = dh + slope[t]
-            dz, dr, dnew = dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :]
-            np.multiply(dh * (1 - z), 1 - new * new, out=dnew)
-            np.multiply(dh * (h - new), z * (1 - z), out=dz)
+            dh += slope[t]
+            dz = h - new
+            dz *= dh
+            dnew = 1 - z
+            dz *= z
+            dz *= dnew
+            dnew *= dh
+            np.multiply(new, new, out=work)
+            np.subtract(1, work, out=work)
+            dnew *= work
             drh = dnew @ new_back
-            np.multiply(drh * h, r * (1 - r), out=dr)
+            dr = drh * h
+            dr *= r
+            np.subtract(1, r, out=work)
+            dr *= work
             dh *= z
             drh *= r
             dh += drh
-            dh += dx[t, :, : 2 * n] @ gates_back
+            np.matmul(dz, keep_back, out=work)
+            dh += work
+            np.matmul(dr, reset_back, out=work)
+            dh += work
             dh *= go_on[t][:, None]
+            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dnew
         flat, d = inputs.ravel(), dx.reshape(-1, 3 * n)
         before = np.concatenate([k[0] for k in kept])
         grads["u"][:, : 2 * n] += before.T @ d[:, : 2 * n]
-        grads["u"][:, 2 * n :] += (np.concatenate([k[2] for k in kept]) * before).T @ d[:, 2 * n :]
+        before *= np.concatenate([k[2] for k in kept])
+        grads["u"][:, 2 * n :] += before.T @ d[:, 2 * n :]
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        grads["x"][ordered[first]] += np.add.reduceat(d[order], first, axis=0)
+        grads["x"][ordered[first]] += np.add.reduceat(d.take(order, axis=0), first, axis=0)
 
 
 class Adam:
@@ -449,12 +483,11 @@ def scored(docs: DataFrame) -> DataFrame:
     n_all, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     vocabulary = _vocabulary(counts)
     parameters = _trained(learnt, vocabulary)
-    frequent = counts.select(F.xxhash64("word").alias("h"), "c")
-    if n_words > KNOWN_WORDS:
-        frequent = counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS).select(F.xxhash64("word").alias("h"), "c")
-    known = frequent.toArrow()
-    order = np.argsort(known.column("h").to_numpy(), kind="stable")
-    hashes, sizes = known.column("h").to_numpy()[order], known.column("c").to_numpy()[order]
+    known = (counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS) if n_words > KNOWN_WORDS else counts).select("word", "c").toArrow().combine_chunks()
+    words = known.column("word").combine_chunks() if known.num_rows else pa.array([], pa.binary())
+    hashes = _hashes(words)
+    order = np.argsort(hashes, kind="stable")
+    hashes, sizes = hashes[order], known.column("c").to_numpy()[order]
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, parameters, hashes, sizes.astype(np.int32) if not len(sizes) or sizes.max() < 2**31 else sizes))
 
     def run(batches):
@@ -467,8 +500,8 @@ def scored(docs: DataFrame) -> DataFrame:
             flat, words, edges = _tokens(batch.column("text"))
             lengths = np.diff(edges)
             number = _numbered(words, vocabulary)
-            own = [*words.to_pylist(), END]
-            h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in own), np.uint64, len(own)).view(np.int64)
+            own = pa.concat_arrays([words, pa.array([END], pa.binary())])
+            h = _hashes(own)
             at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
             found = (hashes[at] == h) if len(hashes) else np.zeros(len(own), bool)
             logs = np.log10(np.where(found, sizes[at] if len(hashes) else 0, 0) + 1.0)
@@ -480,7 +513,7 @@ def scored(docs: DataFrame) -> DataFrame:
             network_score = score(network, np.split(number[flat], edges[1:-1]))
             rare = np.flatnonzero(~found[flat])
             rare_edges = np.searchsorted(rare, edges)
-            rare_words = pa.array([own[k] for k in flat[rare].tolist()], pa.binary())
+            rare_words = own.take(pa.array(flat[rare]))
             columns = {
                 "n_tokens": pa.array(lengths, pa.int64()),
                 "n_known": pa.array(per_doc(found).astype(np.int64)),
@@ -494,9 +527,9 @@ def scored(docs: DataFrame) -> DataFrame:
     found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, text_key bigint, n_tokens bigint, n_known bigint, logs double, model double, rare array<binary>")
     if n_words > KNOWN_WORDS:
         found = stored(found, "lm-scored")
-        words = found.select("doc_id", "text_key", F.explode("rare").alias("word")).groupBy("doc_id", "text_key", "word").agg(F.count(F.lit(1)).alias("m"))
-        more = words.join(counts, "word").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-        more = more.agg(F.sum("m").alias("more_known"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
+        # no word here is frequent, so that none is a hot key
+        more = found.select("doc_id", "text_key", F.explode("rare").alias("word")).join(counts, "word").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        more = more.agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
         # rows that are repeated were exploded each: their sums are shared out again
         times = found.groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
         found = found.join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")

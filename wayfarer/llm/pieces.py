@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import freeing, own_columns, slices, stored, table, text_or_empty, unused
+from .common import freeing, own_columns, run_hashes, slices, stored, table, text_or_empty, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "\u2581"
@@ -184,22 +184,10 @@ class Cutter:
         self.meet = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         for x, y in pairs:
             self.meet[self.number[ord(x)], self.number[ord(y)]] = True
-        self.powers = np.ones(1, np.uint64)
-
-    def hashes(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the runs of characters that begin at starts and follow each other."""
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        if sizes.max() > len(self.powers):
-            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * int(sizes.max()), _BASE, np.uint64))])
-        x = (codes.astype(np.uint64) + np.uint64(1)) * _MIX1
-        x = (x ^ (x >> np.uint64(31))) * self.powers[np.arange(len(codes)) - np.repeat(starts, sizes)]
-        x = (np.add.reduceat(x, starts) + sizes.astype(np.uint64)) * _MIX2
-        return x ^ (x >> np.uint64(32))
 
     def of_units(self, units: list[str]) -> np.ndarray:
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        return self.hashes(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes)
+        return run_hashes(np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes)
 
     def __call__(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(all texts normalised, where units start in it, their sizes, their hashes, for each text the edges of its units)."""
@@ -213,10 +201,7 @@ class Cutter:
         first[ends] = True
         starts = np.flatnonzero(first[:-1])
         sizes = np.diff(np.append(starts, len(codes)))
-        return whole, starts, sizes, self.hashes(codes, starts, sizes), np.searchsorted(starts, np.concatenate([[0], ends]))
-
-
-_BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+        return whole, starts, sizes, run_hashes(codes, starts, sizes), np.searchsorted(starts, np.concatenate([[0], ends]))
 
 
 def _units(docs: DataFrame, model: Model) -> DataFrame:
@@ -457,11 +442,13 @@ def encode(docs: DataFrame, model: Model | None = None, dictionary_units: int =
             ids = _gathered(pool, begins, counts).astype("<i4")
             ends = np.concatenate([[0], np.cumsum(counts)])[edges] * 4
             column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(docs_schema)], column, pa.array(np.diff(edges), pa.int64())], [*docs_schema.names, "ids", "n_units"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), column, pa.array(np.diff(edges), pa.int64())], ["row", "ids", "n_units"])
 
-    docs_schema = docs.schema
     more = [StructField("ids", BinaryType()), StructField("n_units", LongType()), StructField("decoded", StringType())][: 2 + decoded]
-    return rows.select(*own_columns(docs), F.col(text), F.col(rare)).mapInArrow(freeing(lambda batches: back(run(batches))), StructType([*docs_schema.fields, *more]))
+    # the columns go along in one, whatever their names
+    whole_rows = rows.select(F.struct(*own_columns(docs)).alias("row"), F.col(text), F.col(rare))
+    done = whole_rows.mapInArrow(freeing(lambda batches: back(run(batches))), StructType([StructField("row", docs.schema), *more]))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[f.name for f in more])
 
 
 def _decoder(model: Model):
@@ -483,7 +470,9 @@ def _decoder(model: Model):
 def decode(encoded: DataFrame, model: Model | None = None) -> DataFrame:
     """encoded(ids, ...) with decoded, the text that ids stand for; null ids are empty, bytes that are no UTF-8 become U+FFFD."""
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(freeing(_decoder(model or Model.load())), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    rows = encoded.select(F.struct(*own_columns(encoded)).alias("row"), "ids")
+    done = rows.mapInArrow(freeing(_decoder(model or Model.load())), StructType([StructField("row", encoded.schema), encoded.schema["ids"], StructField("decoded", StringType())]))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in encoded.columns], "decoded")
 
 
 def op3_pieces(spark, sf_dir):
