@@ -1,8 +1,8 @@
 """SimHash near duplicates: fingerprints of word shingles, linked by pigeonring filtering, and their components.
 
-64 bits form a ring of 8 segments. If two fingerprints differ in 2 bits at most, some chain of consecutive segments
-starts at which the differences, summed over its first l segments, never exceed l * 2 / 8. So its first three
-segments are equal: they are the join key. Sums over longer chains prune candidates before the full distance.
+64 bits form a ring of 16 segments. If two fingerprints differ in 2 bits at most, some chain of consecutive segments
+starts at which the differences, summed over its first l segments, never exceed l * 2 / 16. So its first seven
+segments are equal: their 28 bits are the join key. Sums over longer chains prune candidates before the full distance.
 Keys with many fingerprints are not paired. Two fingerprints are within 2 bits just if a third is within 1 bit of
 both, so the fingerprints of those keys meet at their 64 neighbours, where at most 65 can be, and form stars there.
 """
@@ -20,7 +20,7 @@ from .common import stored, table, text_bytes
 from .components import components
 from .near_copies import heads
 
-SEGMENTS, BITS = 8, 2
+SEGMENTS, BITS = 16, 2
 WIDTH = 64 // SEGMENTS
 EXACT = -(-SEGMENTS // BITS) - 1  # so many segments of a chain must be equal
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     """prints(fp), distinct -> u, v: edges that connect just what chains of links at BITS or fewer differing bits connect."""
     turned = F.array(*[F.expr(f"shiftleft(fp, {WIDTH * r}) | shiftrightunsigned(fp, {64 - WIDTH * r})" if r else "fp") for r in range(SEGMENTS)])
-    keyed = prints.select("fp", F.posexplode(turned).alias("r", "turned")).withColumn("key", F.col("r") * (1 << EXACT * WIDTH) + F.shiftrightunsigned("turned", 64 - EXACT * WIDTH))
+    keyed = prints.select("fp", F.posexplode(turned).alias("r", "turned")).withColumn("key", F.col("r").cast("long") * (1 << EXACT * WIDTH) + F.shiftrightunsigned("turned", 64 - EXACT * WIDTH))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = stored(keyed.join(stored(sizes, "simhash-sizes"), "key").select("key", "fp", "turned", "n"), "simhash-keys")
     few = crowded.where(F.col("n") <= paired)
