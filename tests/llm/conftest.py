@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, line string, word string, n bigint, ids string, `meta.url` string, `__x` string, __text string, `a``b` string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, line string, word string, n bigint, ids string, `meta.url` string, `__x` string, __text string"
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +8,7 @@ def make(spark):
     """Documents from (doc_id, text) pairs, with columns whose names the operators use inside."""
 
     def docs(rows, langs=None, sources=None):
-        full = [(d, t, (langs or {}).get(d, "en"), (sources or {}).get(d, "src"), len(t or ""), "k", "l", "w", 1, "i", "u", "x", "t", "b") for d, t in rows]
+        full = [(d, t, (langs or {}).get(d, "en"), (sources or {}).get(d, "src"), len(t or ""), "k", "l", "w", 1, "i", "u", "x", "t") for d, t in rows]
         return spark.createDataFrame(full, DOCS)
 
     return docs
