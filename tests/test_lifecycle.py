@@ -102,6 +102,9 @@ def test_stores(spark, tmp_path):
     store.append(spark.createDataFrame([(1, "x")], "a bigint, b string"), place)
     assert store.open_or_none(spark, place).count() == 1
     assert store.report(spark, str(tmp_path)) == ["kept"]
+    store.append(spark.createDataFrame([(2, 0.5)], "a bigint, c double"), str(tmp_path / "other"))
+    both = catalog.read_all(spark, [place, str(tmp_path / "other")])
+    assert sorted(map(tuple, both.collect())) == [(1, "x", None), (2, None, 0.5)]
 
 
 def test_attributes_of_all_kinds(spark):

@@ -92,12 +92,14 @@ def simulate(steps: DataFrame, n: int, angles: str = "uniform", layer: Layer | M
     begin = starts(steps)
     pool, pool_key = (None, []) if angles == "uniform" else (turning_pool(steps, angles, pool_offsets, pool_observations), POOLS[angles])
     accepted = where_data(_tried(begin, 0, (2 if layer is not None else 1) * n - 1, seed, pool, pool_key), layer)
-    if layer is not None:
-        counts = accepted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        short = begin.join(counts.where(F.col("n") >= n), key, "left_anti")
-        accepted = accepted.unionByName(where_data(_tried(short, 2 * n, MOST_TRIALS * n - 1, seed, pool, pool_key), layer))
     order = Window.partitionBy(*key).orderBy("trial")
-    return accepted.withColumn("replicate", (F.row_number().over(order) - 1).cast("long")).where(F.col("replicate") < n)
+    accepted = accepted.withColumn("replicate", (F.row_number().over(order) - 1).cast("long"))
+    if layer is not None:
+        # both uses of the numbered first round read one shuffle
+        short = begin.join(accepted.where(F.col("replicate") == n - 1).select(*key), key, "left_anti")
+        more = where_data(_tried(short, 2 * n, MOST_TRIALS * n - 1, seed, pool, pool_key), layer)
+        accepted = accepted.drop("replicate").unionByName(more).withColumn("replicate", (F.row_number().over(order) - 1).cast("long"))
+    return accepted.where(F.col("replicate") < n)
 
 
 def simulate_jointly(steps: DataFrame, n: int, seed: str = "joint", angles: str = "observed", layer: Layer | MapLayer | None = None) -> DataFrame:

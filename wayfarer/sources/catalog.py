@@ -6,6 +6,7 @@ import io
 import math
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,11 @@ def read_metadata(spark: SparkSession, path: str, required: list[str], keep: lis
     return rows.select(*[own(c).alias(c if c in required else safe_name(c)) for c in names])
 
 
+def read_all(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The rows of several Parquet tables, by column name; a column that a table lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths])
+
+
 def write_table(rows: DataFrame, path: str, by: list[str]) -> str:
     """Parquet, zstd, one folder per value of the columns in `by`; what was there is replaced."""
     rows.repartition(*by).write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
