@@ -136,6 +136,8 @@ def near(lines: DataFrame, keys: DataFrame, paired: int = PAIRED, threshold: int
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("own")).where("n > 1 and own > 0")
     # counts and minima are stored before they are joined back: a join that reads an aggregation can't split a line or entry with very many rows
     crowded = stored(keyed.join(stored(sizes, "line-sizes"), "key").select("key", "h1", "probe", "n"), "line-keys")
+    if crowded.isEmpty():  # no two lines share an entry
+        return lines.select("h1", "h2").where("false")
     few = crowded.where(F.col("n") <= paired) if threshold == 1 else crowded
     a = few.where("not probe").select("key", F.col("h1").alias("a"))
     b = few.select("key", F.col("h1").alias("b"), "probe")
@@ -153,7 +155,7 @@ def near(lines: DataFrame, keys: DataFrame, paired: int = PAIRED, threshold: int
     shorter = F.length("x.line") <= F.length("y.line")
     linked = both.where(within_edits(F.when(shorter, F.col("x.line")).otherwise(F.col("y.line")), F.when(shorter, F.col("y.line")).otherwise(F.col("x.line")), threshold))
     later = linked.select(F.when(F.col("x.first") < F.col("y.first"), F.col("y")).otherwise(F.col("x")).alias("z")).select("z.h1", "z.h2")
-    if threshold != 1:
+    if threshold != 1 or many.isEmpty():
         return later.distinct()
 
     # many rows may come from few lines, so they are dealt anew

@@ -31,7 +31,7 @@ STATISTICS = (
 P = len(STATISTICS)
 HALF_CHI2 = 4.3515  # median of chi-squared with 5 degrees of freedom
 COVER, STEPS, BINS, FIXED_POINT = 0.75, 12, 16, 1024  # STEPS: the most; they end when no determinant shrinks by TOLERANCE
-TOLERANCE = 0.001
+TOLERANCE = 0.01  # of a determinant's logarithm
 FIT_TASKS = 8  # estimates are a row per pool and start
 BROADCAST_FITS = 100_000  # as many estimates of some 350 bytes are sent to all executors; more are joined
 SHARES = (101, 102)  # seeds of the shares of vectors that starts are drawn from, one in SHARE_OF
