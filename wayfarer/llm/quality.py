@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, own_columns, stored, table, text_bytes, unused
+from .common import forget, freeing, own_columns, slices, stored, table, text_bytes, unused
 
 #: (transformed statistic, least standard deviation: what differs by less is never an outlier for it)
 STATISTICS = (
@@ -32,6 +32,7 @@ P = len(STATISTICS)
 HALF_CHI2 = 4.3515  # median of chi-squared with 5 degrees of freedom
 COVER, STEPS, BINS, FIXED_POINT = 0.75, 12, 16, 1024  # STEPS: the most; they end when no determinant shrinks by TOLERANCE
 TOLERANCE = 0.01  # of a determinant's logarithm
+SLICE_BYTES = 4_000_000  # of text that a worker counts at a time
 FIT_TASKS = 8  # estimates are a row per pool and start
 BROADCAST_FITS = 100_000  # as many estimates of some 350 bytes are sent to all executors; more are joined
 SHARES = (101, 102)  # seeds of the shares of vectors that starts are drawn from, one in SHARE_OF
@@ -89,12 +90,12 @@ def counts(docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + "".join(f", {c} bigint" for c in COUNTS)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             found = [_counts(x.as_py()) for x in batch.column("text")]
             columns = [batch.column(f.name) for f in fields] + [pa.array([x[k] for x in found], pa.int64()) for k in range(P)]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), *COUNTS])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(freeing(run), schema)
 
 
 def base_failed() -> Column:
