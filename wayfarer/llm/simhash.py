@@ -100,7 +100,8 @@ def one_of_each(docs: DataFrame, shingle: int = 3, paired: int = PAIRED, similar
 
     With a similarity, texts are linked where the Jaccard similarity of their sets of shingles is that or more. At 0.8
     fingerprints differ in some 10 of 64 bits, for which no segment of a ring need be equal that would leave few
-    candidates; they come from MinHash bands instead, and are verified on the whole sets."""
+    candidates; so fingerprints are longer there (rings), MinHash bands add the pairs that no chain of the ring finds,
+    and all candidates are verified on the whole sets."""
     return heads(docs, _rooted(docs, shingle, paired) if similarity is None else near_copies.rooted(docs, shingle, similarity))
 
 
