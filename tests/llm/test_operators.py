@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -104,6 +105,37 @@ def test_lanes_do_not_change_scores():
     assert language_model.score(net, docs) == pytest.approx(alone, rel=1e-5)
 
 
+def test_texts_of_a_partition_share_their_steps():
+    """Steps over few lanes cost as much as those over many: short texts, those of some ten thousand bytes and small batches are packed together."""
+    r = np.random.default_rng(3)
+    texts = pa.array(["ab cde " * int(n) for n in [*r.integers(100, 1000, 1500), *r.integers(4000, 10_000, 40)]])
+    whole = pa.RecordBatch.from_arrays([texts, pa.array(range(len(texts)))], ["text", "id"])
+    for rows in (len(texts), 100):
+        found = list(language_model._by_length(whole.slice(k, rows) for k in range(0, len(texts), rows)))
+        assert sorted(x for s in found for x in s.column("id").to_pylist()) == list(range(len(texts)))
+        assert len(found) == 1
+    long = pa.RecordBatch.from_arrays([pa.array(["a " * language_model.LONG_BYTES, "b", ""])], ["text"])
+    assert [s.num_rows for s in language_model._by_length(iter([long, long]))] == [4, 2]
+
+
+def test_outputs_of_wide_weights():
+    """Scores and slopes where the weights' exponentials would leave the range, and where they don't, against whole tables."""
+    r = np.random.default_rng(4)
+    states, target = np.tanh(r.standard_normal((50, 6))), r.integers(0, 9, 50)
+    for width in (1, 200):
+        weights, biases = r.standard_normal((9, 6)) * width, r.standard_normal(9)
+        (outputs,) = language_model._groups(weights[None], biases[None])
+        assert outputs.narrow == (width == 1)
+        x = states @ weights.T + biases
+        top = x.max(axis=1, keepdims=True)
+        logs = x - top - np.log(np.exp(x - top).sum(axis=1, keepdims=True))
+        score, e, total = outputs(states, target)
+        assert score == pytest.approx(logs[np.arange(50), target])
+        slopes = np.exp(logs) - np.eye(9)[target]
+        for got, want in zip(outputs.back(states, target, e, total), (slopes.T @ states, slopes.sum(axis=0), slopes @ weights), strict=True):
+            assert got == pytest.approx(want, abs=1e-9)
+
+
 # secrets
 
 

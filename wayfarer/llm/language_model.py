@@ -30,10 +30,12 @@ SHARE = ROUNDS  # each round takes one in SHARE training documents, another shar
 #: A window has WINDOW tokens, or as many as LONGEST steps give: at most LANES documents side by side, fewer where
 #: that leaves UPDATES windows a slice, or where the longest document would go on alone.
 WINDOW, LANES, STEPS, LONGEST, UPDATES = 8192, 512, 16, 256, 64
-SLICE_BYTES = 6_000_000  # of text that a worker packs into lanes at a time
-LONG_BYTES = 24_000  # longer texts are packed with each other, so that few lanes don't go on alone
+SCORED = 4  # times as long are windows where nothing is learnt
+SLICE_BYTES = 12_000_000  # of text that a worker packs into lanes at a time
+LONG_BYTES = SLICE_BYTES // 128  # longer texts are packed with each other, so that few lanes don't go on alone
 RATE = 0.01
 BLOCK = 1024  # tokens whose class probabilities are worked out at once
+CACHED = 16_384  # parameters that are stepped at once
 HELD_WORDS = 1_000_000  # that a worker counts before it hands them on
 KNOWN_WORDS = 1_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
 SEED = 11
@@ -147,35 +149,31 @@ def _grid(docs: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, n
     return target, inputs, (inputs != 0).astype(np.float32), doc, np.cumsum(active)[:-1]
 
 
-def _windows(docs: list[np.ndarray], lanes: int):
+def _windows(docs: list[np.ndarray], lanes: int, times: int = 1):
     """The windows of documents packed into lanes: (inputs, go on, targets that count, which those are, their document, lanes)."""
     target, inputs, go_on, doc, active = _grid(docs, lanes)
     t = 0
     while t < len(target):
         n = int(active[t])
-        steps = min(LONGEST, max(STEPS, WINDOW // n))
+        steps = times * min(LONGEST, max(STEPS, WINDOW // n))
         at = slice(t, t + steps), slice(0, n)
         live = (np.arange(n)[None, :] < active[t : t + steps, None]).ravel()
         yield inputs[at], go_on[at], target[at].ravel()[live], live, doc[at].ravel()[live], n
         t += steps
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-class _Outputs:
-    """One group of outputs over states in [-1, 1]: weights by column, and the biases' exponentials, which stand outside
+class _Outputs(NamedTuple):
+    """One group of outputs over states in [-1, 1]: weights by output, and the biases' exponentials, which stand outside
     those of the states where the weights keep these in range; else the biases go in, and each row's largest is taken off."""
 
-    def __init__(self, weights: np.ndarray, biases: np.ndarray):
-        self.weights, self.biases = weights, biases - biases.max()
-        self.narrow = float(np.abs(weights).sum(axis=0).max()) < 30
-        self.factors = np.exp(self.biases) if self.narrow else np.ones_like(biases)
+    weights: np.ndarray
+    biases: np.ndarray
+    factors: np.ndarray
+    narrow: bool
 
     def __call__(self, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log probabilities of the targets, exponentials, their sums with the factors)."""
-        e = states @ self.weights
+        e = states @ self.weights.T
         if not self.narrow:
             e += self.biases
             e -= e.max(axis=1, keepdims=True)
@@ -186,6 +184,22 @@ class _Outputs:
         total = e @ self.factors
         return picked - np.log(total), e, total
 
+    def back(self, states: np.ndarray, target: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slopes at the weights, the biases and the states; e is used up. Rows are scaled on the states' side, which is narrower."""
+        share = 1 / total
+        e[np.arange(len(e)), target] -= total / self.factors[target]
+        slope = e @ (self.weights * self.factors[:, None])
+        slope *= share[:, None]
+        return (e.T @ (states * share[:, None])) * self.factors[:, None], (share @ e) * self.factors, slope
+
+
+def _groups(weights: np.ndarray, biases: np.ndarray) -> list[_Outputs]:
+    """Groups of outputs from weights by group, output and state, and biases by group and output."""
+    biases = biases - biases.max(axis=1, keepdims=True)
+    narrow = np.abs(weights).sum(axis=2).max(axis=1) < 30
+    factors = np.where(narrow[:, None], np.exp(biases), np.ones_like(biases))
+    return [_Outputs(*x) for x in zip(weights, biases, factors, narrow.tolist(), strict=True)]
+
 
 class Network:
     def __init__(self, parameters: dict[str, np.ndarray], head: int):
@@ -201,63 +215,63 @@ class Network:
         u_gates, u_new = u[:, : 2 * n].copy(), u[:, 2 * n :].copy()
         table = self.p["x"]
         out = np.empty((*inputs.shape, n), table.dtype)
-        for t in range(len(inputs)):
-            h = h * go_on[t][:, None]
+        steps, lanes = inputs.shape
+        kept = np.empty((4, steps if keep is not None else 1, lanes, n), table.dtype)
+        gates, work = np.empty((lanes, 2 * n), table.dtype), np.empty((lanes, n), table.dtype)
+        for t in range(steps):
+            before, z, r, new = kept[:, t if keep is not None else 0]
+            np.multiply(h, go_on[t][:, None], out=before)
             x = table.take(inputs[t], axis=0)
-            gates = h @ u_gates
+            np.matmul(before, u_gates, out=gates)
             gates += x[:, : 2 * n]
-            gates = _sigmoid(gates)
-            z, r = gates[:, :n].copy(), gates[:, n:].copy()
-            new = (r * h) @ u_new
+            gates *= 0.5  # the sigmoid by way of tanh
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            z[:], r[:] = gates[:, :n], gates[:, n:]
+            np.multiply(r, before, out=work)
+            np.matmul(work, u_new, out=new)
             new += x[:, 2 * n :]
             np.tanh(new, out=new)
-            if keep is not None:
-                keep.append((h, z, r, new))
-            h = h - new
+            h = np.subtract(before, new, out=out[t])
             h *= z
             h += new
-            out[t] = h
+        if keep is not None:
+            keep.extend(kept)
         return out, h
 
-    def losses(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target (of its class alone, for the tail), and the slope at the states."""
+    def outputs(self) -> tuple[_Outputs, list[_Outputs]]:
+        """The outputs for classes, and for the words of each head class, as the parameters are now."""
         p = self.p
+        return _groups(p["c"].T[None], p["cb"][None])[0], _groups(p["w"].reshape(self.classes, CLASS_WORDS, -1), p["wb"].reshape(self.classes, CLASS_WORDS))
+
+    def losses(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None, outputs: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each target (of its class alone, for the tail), and the slope at the states."""
         # by class from here on: a class's rows follow each other
         order = np.argsort(self.class_of(target).astype(np.uint16), kind="stable")
         states, target = states.take(order, axis=0), target[order]
         c = self.class_of(target)
         score = np.empty(len(order), states.dtype)
         slope = np.empty_like(states) if grads is not None else None
-        classes = _Outputs(p["c"], p["cb"])
-        back = np.ascontiguousarray(p["c"].T)
+        classes, words = outputs or self.outputs()
         for a in range(0, len(order), BLOCK):  # what a block needs stays in a core's cache
             at = slice(a, a + BLOCK)
             score[at], e, total = classes(states[at], c[at])
             if grads is not None:
-                share = 1 / total
-                grads["c"] += ((states[at] * share[:, None]).T @ e) * classes.factors
-                grads["cb"] += (share @ e) * classes.factors
-                slope[at] = e @ (back * classes.factors[:, None])
-                slope[at] *= share[:, None]
-        edges = np.searchsorted(c, np.arange(self.classes + TAIL_CLASSES + 1))
-        if grads is not None:
-            used = np.flatnonzero(np.diff(edges))
-            grads["c"][:, used] -= np.add.reduceat(states, edges[used], axis=0).T
-            grads["cb"] -= np.diff(edges)
-            slope -= back.take(c, axis=0)
-        for k in np.flatnonzero(np.diff(edges[: self.classes + 1])).tolist():
-            rows, at = slice(edges[k], edges[k + 1]), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            s, own = states[rows], target[rows] - k * CLASS_WORDS
-            words = _Outputs(p["w"][at].T, p["wb"][at])
-            found, e, total = words(s, own)
-            score[rows] += found
+                by_weight, by_bias, slope[at] = classes.back(states[at], c[at], e, total)
+                grads["c"] += by_weight.T
+                grads["cb"] += by_bias
+        edges = np.searchsorted(c, np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            s, own = states[edges[k] : edges[k + 1]], target[edges[k] : edges[k + 1]] - k * CLASS_WORDS
+            found, e, total = words[k](s, own)
+            score[edges[k] : edges[k + 1]] += found
             if grads is not None:
-                e *= words.factors
-                e /= total[:, None]
-                e[np.arange(len(own)), own] -= 1
-                grads["w"][at] += e.T @ s
-                grads["wb"][at] += np.ones(len(own), e.dtype) @ e
-                slope[rows] += e @ p["w"][at]
+                at = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+                by_weight, by_bias, by_state = words[k].back(s, own, e, total)
+                grads["w"][at] += by_weight
+                grads["wb"][at] += by_bias
+                slope[edges[k] : edges[k + 1]] += by_state
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         return score[place], None if slope is None else slope.take(place, axis=0)
@@ -265,41 +279,36 @@ class Network:
     def back(self, inputs: np.ndarray, go_on: np.ndarray, kept: list, slope: np.ndarray, grads: dict) -> None:
         """Backpropagation through one window; nothing flows back past its begin."""
         n, u = HIDDEN, self.p["u"]
-        keep_back, reset_back, new_back = (u[:, k * n : (k + 1) * n].T.copy() for k in range(3))
+        gates_back, new_back = np.concatenate([u[:, :n].T, u[:, n : 2 * n].T]), u[:, 2 * n :].T.copy()
+        h, z, r, new = kept
+        # what does not depend on later steps, for all steps at once
+        by_new, by_r = 1 - z, 1 - r
+        by_z = h - new
+        by_z *= z
+        by_z *= by_new
+        by_new *= 1 - new * new
+        by_r *= r
+        by_r *= h
         dx = np.empty((*inputs.shape, 3 * n), slope.dtype)
         dh = np.zeros_like(slope[0])
-        work = np.empty_like(dh)
+        dnew, drh, work = np.empty_like(dh), np.empty_like(dh), np.empty_like(dh)
         for t in range(len(inputs) - 1, -1, -1):
-            h, z, r, new = kept[t]
+            d = dx[t]
             dh += slope[t]
-            dz = h - new
-            dz *= dh
-            dnew = 1 - z
-            dz *= z
-            dz *= dnew
-            dnew *= dh
-            np.multiply(new, new, out=work)
-            np.subtract(1, work, out=work)
-            dnew *= work
-            drh = dnew @ new_back
-            dr = drh * h
-            dr *= r
-            np.subtract(1, r, out=work)
-            dr *= work
-            dh *= z
-            drh *= r
+            np.multiply(dh, by_z[t], out=d[:, :n])
+            np.multiply(dh, by_new[t], out=dnew)
+            d[:, 2 * n :] = dnew
+            np.matmul(dnew, new_back, out=drh)
+            np.multiply(drh, by_r[t], out=d[:, n : 2 * n])
+            dh *= z[t]
+            drh *= r[t]
             dh += drh
-            np.matmul(dz, keep_back, out=work)
-            dh += work
-            np.matmul(dr, reset_back, out=work)
+            np.matmul(d[:, : 2 * n], gates_back, out=work)
             dh += work
             dh *= go_on[t][:, None]
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dnew
         flat, d = inputs.ravel(), dx.reshape(-1, 3 * n)
-        before = np.concatenate([k[0] for k in kept])
-        grads["u"][:, : 2 * n] += before.T @ d[:, : 2 * n]
-        before *= np.concatenate([k[2] for k in kept])
-        grads["u"][:, 2 * n :] += before.T @ d[:, 2 * n :]
+        grads["u"][:, : 2 * n] += h.reshape(-1, n).T @ d[:, : 2 * n]
+        grads["u"][:, 2 * n :] += (h * r).reshape(-1, n).T @ d[:, 2 * n :]
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -307,27 +316,31 @@ class Network:
 
 
 class Adam:
+    """Its moments are kept as sums without the factors 0.1 and 0.001, which the step makes up for."""
+
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.m, self.v, self.t = p, {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
 
     def step(self, grads: dict[str, np.ndarray], tokens: int) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values()))) / tokens
+        norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))) / tokens
         scale = min(1.0, 1.0 / max(norm, 1e-9)) / tokens
-        fix = np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            m, v = self.m[k], self.v[k]
-            g *= scale
-            m *= 0.9
-            m += 0.1 * g
-            g *= g
-            v *= 0.999
-            v += 0.001 * g
-            np.sqrt(v, out=g)
-            g += 1e-8
-            np.divide(m, g, out=g)
-            g *= RATE * fix
-            self.p[k] -= g
+        rate = RATE * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t) * 0.1 / np.sqrt(0.001)
+        for k in grads:
+            flat = [x[k].reshape(-1) for x in (grads, self.m, self.v, self.p)]
+            for a in range(0, flat[0].size, CACHED):
+                g, m, v, p = (x[a : a + CACHED] for x in flat)
+                g *= scale
+                m *= 0.9
+                m += g
+                g *= g
+                v *= 0.999
+                v += g
+                np.sqrt(v, out=g)
+                g += 1e-8 / 0.001**0.5
+                np.divide(m, g, out=g)
+                g *= float(rate)
+                p -= g
 
 
 def train(network: Network, adam: Adam, docs: list[np.ndarray]) -> int:
@@ -339,8 +352,11 @@ def train(network: Network, adam: Adam, docs: list[np.ndarray]) -> int:
         grads = {k: np.zeros_like(x) for k, x in network.p.items()}
         states, h = network.states(inputs, go_on, h[:n], kept)
         flat = states.reshape(-1, HIDDEN)
-        slope = np.zeros_like(flat)
-        slope[live] = network.losses(flat[live], target, grads)[1]
+        if len(target) == len(flat):
+            slope = network.losses(flat, target, grads)[1]
+        else:
+            slope = np.zeros_like(flat)
+            slope[live] = network.losses(flat[live], target, grads)[1]
         network.back(inputs, go_on, kept, slope.reshape(states.shape), grads)
         adam.step(grads, len(target))
     return total
@@ -350,10 +366,11 @@ def score(network: Network, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each document, of the class alone for tail words; states go on from window to window."""
     out = np.zeros(len(docs))
     h = np.zeros((LANES, HIDDEN), np.float32)
-    longest = max(map(len, docs), default=1)
-    for inputs, go_on, target, live, doc, n in _windows(docs, max(1, min(LANES, -(-sum(map(len, docs)) // longest)))):
+    longest, outputs = max(map(len, docs), default=1), network.outputs()
+    for inputs, go_on, target, live, doc, n in _windows(docs, max(1, min(LANES, -(-sum(map(len, docs)) // longest))), SCORED):
         states, h = network.states(inputs, go_on, h[:n])
-        found = network.losses(states.reshape(-1, HIDDEN)[live], target)[0]
+        flat = states.reshape(-1, HIDDEN)
+        found = network.losses(flat if len(target) == len(flat) else flat[live], target, outputs=outputs)[0]
         out += np.bincount(doc, found.astype(np.float64), len(docs))
     return out / np.log(10)
 
@@ -365,27 +382,34 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     offsets = split.offsets.to_numpy()
     edges = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
-    coded = flat.filter(pa.array(real)).dictionary_encode()
+    coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
     words = coded.dictionary.cast(pa.binary())
     numbers = np.insert(coded.indices.to_numpy().astype(np.int64), edges[1:], len(words))
     return numbers, words, edges + np.arange(len(edges))
 
 
 def _by_length(batches):
-    """Slices of texts of like length: long ones are held back until there are SLICE_BYTES of them."""
-    held, size = [], 0
+    """Slices of texts of like length, long ones apart: either kind is held back until there are SLICE_BYTES of it."""
+    held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
+    size = {False: 0, True: 0}
+
+    def sliced(kind: bool):
+        parts, held[kind], size[kind] = held[kind], [], 0
+        return slices(pa.Table.from_batches(parts).combine_chunks().to_batches(), "text", SLICE_BYTES)
+
     for batch in batches:
         n = pc.binary_length(batch.column("text"))
         long = pc.greater(n, LONG_BYTES)
-        yield from slices([batch.filter(pc.invert(long))], "text", SLICE_BYTES)
-        if pc.any(long).as_py():
-            held.append(batch.filter(long))
-            size += pc.sum(n.filter(long)).as_py()
-        if size > SLICE_BYTES:
-            yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches(), "text", SLICE_BYTES)
-            held, size = [], 0
-    if held:
-        yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches(), "text", SLICE_BYTES)
+        for kind, own in ((False, pc.invert(long)), (True, long)):
+            rows = pc.sum(own).as_py()
+            if rows:
+                held[kind].append(batch if rows == batch.num_rows else batch.filter(own))
+                size[kind] += pc.sum(n.filter(own)).as_py()
+            if size[kind] > SLICE_BYTES:
+                yield from sliced(kind)
+    for kind in held:
+        if held[kind]:
+            yield from sliced(kind)
 
 
 def held_out() -> Column:
