@@ -118,6 +118,25 @@ def test_texts_of_a_partition_share_their_steps():
     assert [s.num_rows for s in language_model._by_length(iter([long, long]))] == [4, 2]
 
 
+def test_classes_of_tail_words():
+    words = [b"a", b"\xc3\xa9", b"abc", b"bc", b"\x00", b"c" * 40]
+    assert language_model._tails(pa.array([b"left out", *words], pa.binary())[1:]).tolist() == [language_model.tail_class(w) for w in words]
+    assert not len(language_model._tails(pa.array([], pa.binary())))
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """Workers get some 4 MB at a time from the model's passes, and what the session had set is set again."""
+    from wayfarer.llm.common import small_batches
+
+    docs, key = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcd "), 1200).alias("text")), "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: [r["n"] for r in docs.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()]
+    before = spark.conf.get(key)
+    with small_batches(spark):
+        assert max(sizes()) < 5_000_000
+    assert spark.conf.get(key) == before
+    assert max(sizes()) > 15_000_000
+
+
 def test_outputs_of_wide_weights():
     """Scores and slopes where the weights' exponentials would leave the range, and where they don't, against whole tables."""
     r = np.random.default_rng(4)

@@ -101,6 +101,21 @@ def freeing(run: Callable) -> Callable:
     return freed
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 4_000_000) -> Iterator[None]:
+    """What runs inside hands workers batches of about `size` bytes, not of 10,000 rows however long their texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _powers = np.ones(1, np.uint64)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import run_hashes, slices, stored, table, text_or_empty
+from .common import freeing, run_hashes, slices, small_batches, stored, table, text_or_empty
 
 END = b" "  # no word: words hold no space
 HEAD, CLASS_WORDS, TAIL_CLASSES, HIDDEN = 2048, 64, 64, 24
@@ -77,14 +77,18 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return run_hashes(data, edges[:-1], np.diff(edges)).view(np.int64)
 
 
+def _tails(words: pa.Array) -> np.ndarray:
+    """tail_class() of words; none is empty."""
+    data, edges = _bytes(words)
+    last, before = data[edges[1:] - 1].astype(np.int64), data[np.maximum(edges[1:] - 2, 0)].astype(np.int64)
+    return _tail_classes()[np.where(np.diff(edges) > 1, before << 8 | last, (1 << 16) + last)]
+
+
 def _numbered(words: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
     """Input numbers of words: head words by rank, others by their class after those; one more, for the end, comes last."""
     head = len(vocabulary.head)
     place = pc.fill_null(pc.index_in(words, value_set=pa.array(vocabulary.head, pa.binary())), -1).to_numpy()
-    data, edges = _bytes(words)
-    last, before = data[edges[1:] - 1].astype(np.int64), data[np.maximum(edges[1:] - 2, 0)].astype(np.int64)
-    tail = _tail_classes()[np.where(np.diff(edges) > 1, before << 8 | last, (1 << 16) + last)]
-    return np.append(np.where(place >= 0, place, head + tail), 0).astype(np.int32)
+    return np.append(np.where(place >= 0, place, head + _tails(words)), 0).astype(np.int32)
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -426,8 +430,8 @@ def _counts(texts: DataFrame) -> DataFrame:
             table = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")])
             return pa.table([table.column("word"), table.column("c_sum")], ["word", "c"])
 
-        for batch in slices(batches, "text", SLICE_BYTES):
-            numbers, words, _ = _tokens(batch.column(0))
+        for batch in _by_length(batches):
+            numbers, words, _ = _tokens(batch.column("text"))
             held.append(pa.table([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.array(np.bincount(numbers, minlength=len(words) + 1))], ["word", "c"]))
             if sum(map(len, held)) > HELD_WORDS:
                 held = [summed()]
@@ -436,7 +440,7 @@ def _counts(texts: DataFrame) -> DataFrame:
         if held:
             yield from summed().to_batches()
 
-    return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
+    return texts.mapInArrow(freeing(run), "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
@@ -445,14 +449,13 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
 
     def by_class(batches):
-        known = set(head)
+        known = pa.array(head, pa.binary())
         sums, words = np.zeros(TAIL_CLASSES, np.int64), np.zeros(TAIL_CLASSES, np.int64)
         for batch in batches:
-            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                if w not in known:
-                    k = tail_class(w)
-                    sums[k] += c
-                    words[k] += 1
+            rare = batch.filter(pc.invert(pc.is_in(batch.column("word"), value_set=known)))
+            k = _tails(rare.column("word"))
+            np.add.at(sums, k, rare.column("c").to_numpy())
+            words += np.bincount(k, minlength=TAIL_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(TAIL_CLASSES), pa.int32()), pa.array(sums), pa.array(words)], ["k", "n", "v"])
 
     tail = counts.mapInArrow(by_class, "k int, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
@@ -486,7 +489,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([_packed(parameters)], pa.binary())], ["n", "parameters"])
 
         own = texts.where(_in_round(k)).select("text")
-        sums = own.mapInArrow(run, "n bigint, parameters binary").rdd.map(lambda r: (r["n"], np.frombuffer(bytes(r["parameters"]), "<f4") * np.float64(r["n"])))
+        sums = own.mapInArrow(freeing(run), "n bigint, parameters binary").rdd.map(lambda r: (r["n"], np.frombuffer(bytes(r["parameters"]), "<f4") * np.float64(r["n"])))
         n, total = sums.treeAggregate((0, 0.0), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), depth=2)
         if n:
             parameters = _unpacked((total / n).astype("<f4").tobytes(), parameters)
@@ -503,10 +506,12 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", held_out().alias("held_out"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text"))
     learnt = rows.where(~F.col("held_out"))
-    counts = stored(_counts(learnt.select("text")), "lm-counts")
+    with small_batches(docs.sparkSession):
+        counts = stored(_counts(learnt.select("text")), "lm-counts")
     n_all, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     vocabulary = _vocabulary(counts)
-    parameters = _trained(learnt, vocabulary)
+    with small_batches(docs.sparkSession):
+        parameters = _trained(learnt, vocabulary)
     known = (counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS) if n_words > KNOWN_WORDS else counts).select("word", "c").toArrow().combine_chunks()
     words = known.column("word").combine_chunks() if known.num_rows else pa.array([], pa.binary())
     hashes = _hashes(words)
@@ -526,7 +531,8 @@ def scored(docs: DataFrame) -> DataFrame:
             number = _numbered(words, vocabulary)
             own = pa.concat_arrays([words, pa.array([END], pa.binary())])
             h = _hashes(own)
-            at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
+            at, order = np.empty(len(h), np.int64), np.argsort(h)  # neighbours are found in a core's cache
+            at[order] = np.minimum(np.searchsorted(hashes, h[order]), max(0, len(hashes) - 1))
             found = (hashes[at] == h) if len(hashes) else np.zeros(len(own), bool)
             logs = np.log10(np.where(found, sizes[at] if len(hashes) else 0, 0) + 1.0)
             tail = number >= head
@@ -548,9 +554,10 @@ def scored(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text_key"), *columns.values()], ["doc_id", "held_out", "text_key", *columns])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, text_key bigint, n_tokens bigint, n_known bigint, logs double, model double, rare array<binary>")
+    found = rows.mapInArrow(freeing(run), f"doc_id {kind}, held_out boolean, text_key bigint, n_tokens bigint, n_known bigint, logs double, model double, rare array<binary>")
     if n_words > KNOWN_WORDS:
-        found = stored(found, "lm-scored")
+        with small_batches(docs.sparkSession):
+            found = stored(found, "lm-scored")
         # no word here is frequent, so that none is a hot key
         more = found.select("doc_id", "text_key", F.explode("rare").alias("word")).join(counts, "word").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
         more = more.agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
