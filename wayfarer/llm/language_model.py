@@ -32,10 +32,12 @@ SHARE = ROUNDS  # each round takes one in SHARE training documents, another shar
 WINDOW, LANES, STEPS, LONGEST, UPDATES = 8192, 512, 16, 256, 64
 SCORED = 4  # times as long are windows where nothing is learnt
 SLICE_BYTES = 12_000_000  # of text that a worker packs into lanes at a time
+MIDDLE_BYTES = SLICE_BYTES // 1024  # longer texts wait for a partition's last slices: a slice has as many steps as its longest text
 LONG_BYTES = SLICE_BYTES // 128  # longer texts are packed with each other, so that few lanes don't go on alone
 RATE = 0.01
-BLOCK = 1024  # tokens whose class probabilities are worked out at once
+BLOCK = 416  # tokens whose probabilities are worked out at once: products of this size need no packing by OpenBLAS
 CACHED = 16_384  # parameters that are stepped at once
+FREQUENT = 16  # inputs found as often in a window are summed one by one
 HELD_WORDS = 1_000_000  # that a worker counts before it hands them on
 KNOWN_WORDS = 1_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
 SEED = 11
@@ -166,33 +168,59 @@ def _windows(docs: list[np.ndarray], lanes: int, times: int = 1):
         t += steps
 
 
+@lru_cache(4 * BLOCK)
+def _places(rows: int, width: int) -> np.ndarray:
+    """Where each row begins."""
+    return np.arange(rows) * width
+
+
 class _Outputs(NamedTuple):
     """One group of outputs over states in [-1, 1]: weights by output, and the biases' exponentials, which stand outside
     those of the states where the weights keep these in range; else the biases go in, and each row's largest is taken off."""
 
-    weights: np.ndarray
+    weights: np.ndarray  # by state and output
+    scaled: np.ndarray  # by output and state, times the factors
     biases: np.ndarray
     factors: np.ndarray
     narrow: bool
 
     def __call__(self, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log probabilities of the targets, exponentials, their sums with the factors)."""
-        e = states @ self.weights.T
+        e = states @ self.weights
         if not self.narrow:
             e += self.biases
             e -= e.max(axis=1, keepdims=True)
-        picked = e[np.arange(len(e)), target]
+        picked = e.take(_places(*e.shape) + target)
         if self.narrow:
-            picked += self.biases[target]
+            picked += self.biases.take(target)
         np.exp(e, out=e)
         total = e @ self.factors
         return picked - np.log(total), e, total
 
+    def logs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of the targets, by blocks whose exponentials stay in a core's cache."""
+        n, width = len(states), len(self.biases)
+        if not self.narrow:
+            return np.concatenate([self(states[a : a + BLOCK], target[a : a + BLOCK])[0] for a in range(0, n, BLOCK)])
+        e = np.empty((min(n, BLOCK), width), states.dtype)
+        picked, total = np.empty(n, states.dtype), np.empty(n, states.dtype)
+        for a in range(0, n, BLOCK):
+            s = states[a : a + BLOCK]
+            if len(s) < len(e):
+                e = e[: len(s)]
+            np.matmul(s, self.weights, out=e)
+            e.take(_places(*e.shape) + target[a : a + BLOCK], out=picked[a : a + BLOCK], mode="clip")
+            np.exp(e, out=e)
+            np.matmul(e, self.factors, out=total[a : a + BLOCK])
+        picked += self.biases.take(target)
+        picked -= np.log(total, out=total)
+        return picked
+
     def back(self, states: np.ndarray, target: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slopes at the weights, the biases and the states; e is used up. Rows are scaled on the states' side, which is narrower."""
         share = 1 / total
-        e[np.arange(len(e)), target] -= total / self.factors[target]
-        slope = e @ (self.weights * self.factors[:, None])
+        e.reshape(-1)[_places(*e.shape) + target] -= total / self.factors.take(target)
+        slope = e @ self.scaled
         slope *= share[:, None]
         return (e.T @ (states * share[:, None])) * self.factors[:, None], (share @ e) * self.factors, slope
 
@@ -202,7 +230,27 @@ def _groups(weights: np.ndarray, biases: np.ndarray) -> list[_Outputs]:
     biases = biases - biases.max(axis=1, keepdims=True)
     narrow = np.abs(weights).sum(axis=2).max(axis=1) < 30
     factors = np.where(narrow[:, None], np.exp(biases), np.ones_like(biases))
-    return [_Outputs(*x) for x in zip(weights, biases, factors, narrow.tolist(), strict=True)]
+    across, scaled = np.ascontiguousarray(weights.swapaxes(1, 2)), weights * factors[:, :, None]
+    return [_Outputs(*x) for x in zip(across, scaled, biases, factors, narrow.tolist(), strict=True)]
+
+
+def _sums(numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct numbers, sums of their rows along the middle axis): frequent ones each by a product, the others' first rows
+    at once, then their second ones, and so on."""
+    order = np.argsort(numbers.astype(np.uint16), kind="stable")
+    ordered = numbers[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    times = np.diff(first, append=len(order))
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    frequent = int(np.searchsorted(-times, -FREQUENT, side="right"))
+    sums = rows.take(order[first], axis=1)
+    for k, (a, n) in enumerate(zip(first[:frequent].tolist(), times[:frequent].tolist(), strict=True)):
+        np.matmul(np.ones(n, rows.dtype), rows.take(order[a : a + n], axis=1), out=sums[:, k])
+    for j in range(1, int(times[frequent]) if frequent < len(times) else 0):
+        end = int(np.searchsorted(-times, -j, side="left"))  # those that occur more than j times
+        sums[:, frequent:end] += rows.take(order[first[frequent:end] + j], axis=1)
+    return ordered[first], sums
 
 
 class Network:
@@ -216,26 +264,28 @@ class Network:
     def states(self, inputs: np.ndarray, go_on: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The states at each step of a window from h, and the last; keep gets what going back needs."""
         n, u = HIDDEN, self.p["u"]
-        u_gates, u_new = u[:, : 2 * n].copy(), u[:, 2 * n :].copy()
-        table = self.p["x"]
-        out = np.empty((*inputs.shape, n), table.dtype)
+        by_gate = lambda x: np.ascontiguousarray(x[:, : 2 * n].reshape(-1, 2, n).swapaxes(0, 1)) * 0.5  # noqa: E731, the sigmoid by way of tanh
+        u_gates, x_gates = by_gate(u), by_gate(self.p["x"])
+        u_new, x_new = u[:, 2 * n :].copy(), self.p["x"][:, 2 * n :].copy()
         steps, lanes = inputs.shape
-        kept = np.empty((4, steps if keep is not None else 1, lanes, n), table.dtype)
-        gates, work = np.empty((lanes, 2 * n), table.dtype), np.empty((lanes, n), table.dtype)
-        for t in range(steps):
-            before, z, r, new = kept[:, t if keep is not None else 0]
-            np.multiply(h, go_on[t][:, None], out=before)
-            x = table.take(inputs[t], axis=0)
-            np.matmul(before, u_gates, out=gates)
-            gates += x[:, : 2 * n]
-            gates *= 0.5  # the sigmoid by way of tanh
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            z[:], r[:] = gates[:, :n], gates[:, n:]
-            np.multiply(r, before, out=work)
-            np.matmul(work, u_new, out=new)
-            new += x[:, 2 * n :]
+        out = np.empty((steps, lanes, n), u.dtype)
+        kept = np.empty((5, steps if keep is not None else 1, lanes, n), u.dtype)
+        work, half = np.empty((2, lanes, n), u.dtype), np.array(0.5, u.dtype)
+        inputs, begins = inputs.astype(np.intp), go_on == 0
+        for t, begun in enumerate(begins.any(axis=1).tolist()):
+            own = kept[:, t if keep is not None else 0]
+            before, z, r, reset, new = own
+            before[:] = h
+            if begun:
+                before[begins[t]] = 0
+            np.matmul(before, u_gates, out=work)
+            work += x_gates.take(inputs[t], axis=1)
+            np.tanh(work, out=work)
+            work *= half
+            np.add(work, half, out=own[1:3])
+            np.multiply(r, before, out=reset)
+            np.matmul(reset, u_new, out=new)
+            new += x_new.take(inputs[t], axis=0)
             np.tanh(new, out=new)
             h = np.subtract(before, new, out=out[t])
             h *= z
@@ -255,27 +305,39 @@ class Network:
         order = np.argsort(self.class_of(target).astype(np.uint16), kind="stable")
         states, target = states.take(order, axis=0), target[order]
         c = self.class_of(target)
-        score = np.empty(len(order), states.dtype)
-        slope = np.empty_like(states) if grads is not None else None
+        slope = None
         classes, words = outputs or self.outputs()
-        for a in range(0, len(order), BLOCK):  # what a block needs stays in a core's cache
-            at = slice(a, a + BLOCK)
-            score[at], e, total = classes(states[at], c[at])
-            if grads is not None:
-                by_weight, by_bias, slope[at] = classes.back(states[at], c[at], e, total)
+
+        def learnt(group: _Outputs, at: slice, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Adds a group's scores and slopes at the states; returns the slopes at its weights and biases."""
+            for a in range(0, len(own), BLOCK):  # what a block needs stays in a core's cache
+                b = slice(at.start + a, min(at.stop, at.start + a + BLOCK))
+                found, e, total = group(states[b], own[a : a + BLOCK])
+                weight, bias, state = group.back(states[b], own[a : a + BLOCK], e, total)
+                score[b] += found
+                slope[b] += state
+                by_weight, by_bias = (by_weight + weight, by_bias + bias) if a else (weight, bias)
+            return by_weight, by_bias
+
+        if grads is None:
+            score = classes.logs(states, c)
+        else:
+            score, slope = np.zeros(len(order), states.dtype), np.zeros_like(states)
+            if len(order):
+                by_weight, by_bias = learnt(classes, slice(0, len(order)), c)
                 grads["c"] += by_weight.T
                 grads["cb"] += by_bias
         edges = np.searchsorted(c, np.arange(self.classes + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            s, own = states[edges[k] : edges[k + 1]], target[edges[k] : edges[k + 1]] - k * CLASS_WORDS
-            found, e, total = words[k](s, own)
-            score[edges[k] : edges[k + 1]] += found
-            if grads is not None:
-                at = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-                by_weight, by_bias, by_state = words[k].back(s, own, e, total)
-                grads["w"][at] += by_weight
-                grads["wb"][at] += by_bias
-                slope[edges[k] : edges[k + 1]] += by_state
+            at = slice(int(edges[k]), int(edges[k + 1]))
+            own = target[at] - k * CLASS_WORDS
+            if grads is None:
+                score[at] += words[k].logs(states[at], own)
+            else:
+                rows = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+                by_weight, by_bias = learnt(words[k], at, own)
+                grads["w"][rows] += by_weight
+                grads["wb"][rows] += by_bias
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         return score[place], None if slope is None else slope.take(place, axis=0)
@@ -283,40 +345,45 @@ class Network:
     def back(self, inputs: np.ndarray, go_on: np.ndarray, kept: list, slope: np.ndarray, grads: dict) -> None:
         """Backpropagation through one window; nothing flows back past its begin."""
         n, u = HIDDEN, self.p["u"]
-        gates_back, new_back = np.concatenate([u[:, :n].T, u[:, n : 2 * n].T]), u[:, 2 * n :].T.copy()
-        h, z, r, new = kept
-        # what does not depend on later steps, for all steps at once
-        by_new, by_r = 1 - z, 1 - r
-        by_z = h - new
-        by_z *= z
-        by_z *= by_new
-        by_new *= 1 - new * new
-        by_r *= r
-        by_r *= h
-        dx = np.empty((*inputs.shape, 3 * n), slope.dtype)
+        gates_back, new_back = np.stack([u[:, :n].T, u[:, n : 2 * n].T]), u[:, 2 * n :].T.copy()
+        h, z, r, reset, new = kept
+        steps, lanes = inputs.shape
+        dx = np.empty((3, steps, lanes, n), slope.dtype)  # by z, r and new
+        begins = go_on == 0
+        begun = begins.any(axis=1).tolist()
         dh = np.zeros_like(slope[0])
-        dnew, drh, work = np.empty_like(dh), np.empty_like(dh), np.empty_like(dh)
-        for t in range(len(inputs) - 1, -1, -1):
-            d = dx[t]
-            dh += slope[t]
-            np.multiply(dh, by_z[t], out=d[:, :n])
-            np.multiply(dh, by_new[t], out=dnew)
-            d[:, 2 * n :] = dnew
-            np.matmul(dnew, new_back, out=drh)
-            np.multiply(drh, by_r[t], out=d[:, n : 2 * n])
-            dh *= z[t]
-            drh *= r[t]
-            dh += drh
-            np.matmul(d[:, : 2 * n], gates_back, out=work)
-            dh += work
-            dh *= go_on[t][:, None]
-        flat, d = inputs.ravel(), dx.reshape(-1, 3 * n)
-        grads["u"][:, : 2 * n] += h.reshape(-1, n).T @ d[:, : 2 * n]
-        grads["u"][:, 2 * n :] += (h * r).reshape(-1, n).T @ d[:, 2 * n :]
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        ordered = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        grads["x"][ordered[first]] += np.add.reduceat(d.take(order, axis=0), first, axis=0)
+        drh, work = np.empty_like(dh), np.empty((2, *dh.shape), dh.dtype)
+        chunk = max(1, CACHED // dh.size)
+        for end in range(steps, 0, -chunk):
+            # what does not depend on later steps, for some steps at once
+            begin = max(0, end - chunk)
+            at = slice(begin, end)
+            by_new, by_r, by_z = 1 - z[at], 1 - r[at], h[at] - new[at]
+            by_r *= reset[at]
+            by_z *= z[at]
+            by_z *= by_new
+            by_new -= by_new * new[at] * new[at]
+            for t in range(end - 1, begin - 1, -1):
+                dz, dr, dnew = dx[:, t]
+                dh += slope[t]
+                np.multiply(dh, by_z[t - begin], out=dz)
+                np.multiply(dh, by_new[t - begin], out=dnew)
+                np.matmul(dnew, new_back, out=drh)
+                np.multiply(drh, by_r[t - begin], out=dr)
+                dh *= z[t]
+                drh *= r[t]
+                dh += drh
+                np.matmul(dx[:2, t], gates_back, out=work)
+                dh += work[0]
+                dh += work[1]
+                if begun[t]:
+                    dh[begins[t]] = 0
+        flat, d = inputs.ravel(), dx.reshape(3, -1, n)
+        by_u = grads["u"].reshape(n, 3, n)
+        for k, x in enumerate((h, h, reset)):
+            by_u[:, k] += x.reshape(-1, n).T @ d[k]
+        found, sums = _sums(flat, d)
+        grads["x"].reshape(-1, 3, n)[found] += sums.swapaxes(0, 1)
 
 
 class Adam:
@@ -393,27 +460,35 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def _by_length(batches):
-    """Slices of texts of like length, long ones apart: either kind is held back until there are SLICE_BYTES of it."""
-    held: dict[bool, list[pa.RecordBatch]] = {False: [], True: []}
-    size = {False: 0, True: 0}
+    """Slices of texts of like length: full ones as they come, in the end those of middle length with what is left of the
+    short ones, and the long ones."""
+    held: list[list[pa.RecordBatch]] = [[], [], []]
+    size = [0, 0, 0]
 
-    def sliced(kind: bool):
-        parts, held[kind], size[kind] = held[kind], [], 0
-        return slices(pa.Table.from_batches(parts).combine_chunks().to_batches(), "text", SLICE_BYTES)
+    def sliced(parts: list[pa.RecordBatch]):
+        return slices(pa.Table.from_batches(parts).combine_chunks().to_batches(), "text", SLICE_BYTES) if parts else ()
 
     for batch in batches:
-        n = pc.binary_length(batch.column("text"))
-        long = pc.greater(n, LONG_BYTES)
-        for kind, own in ((False, pc.invert(long)), (True, long)):
-            rows = pc.sum(own).as_py()
-            if rows:
-                held[kind].append(batch if rows == batch.num_rows else batch.filter(own))
-                size[kind] += pc.sum(n.filter(own)).as_py()
+        n = pc.binary_length(batch.column("text")).to_numpy()
+        kinds = (n > MIDDLE_BYTES).astype(np.int8) + (n > LONG_BYTES)
+        for kind in np.unique(kinds).tolist():
+            own = kinds == kind
+            held[kind].append(batch if own.all() else batch.filter(pa.array(own)))
+            size[kind] += int(n[own].sum(dtype=np.int64))
             if size[kind] > SLICE_BYTES:
-                yield from sliced(kind)
-    for kind in held:
-        if held[kind]:
-            yield from sliced(kind)
+                parts, held[kind], size[kind] = held[kind], [], 0
+                for part in sliced(parts):
+                    if held[kind]:
+                        yield held[kind].pop()
+                    held[kind].append(part)
+                size[kind] = pc.sum(pc.binary_length(held[kind][0].column("text"))).as_py()
+                if size[kind] > SLICE_BYTES:
+                    size[kind] = 0
+                    yield held[kind].pop()
+    short, middle, long = held
+    del held
+    yield from sliced(middle + short)
+    yield from sliced(long)
 
 
 def held_out() -> Column:
