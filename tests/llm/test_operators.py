@@ -118,6 +118,54 @@ def test_texts_of_a_partition_share_their_steps():
     assert [s.num_rows for s in language_model._by_length(iter([long, long]))] == [4, 2]
 
 
+def test_slices_are_filled(monkeypatch):
+    """What does not fill a slice goes on with the next batches, and texts of middle length share the last slices' many steps."""
+    monkeypatch.setattr(language_model, "SLICE_BYTES", 100_000)
+    monkeypatch.setattr(language_model, "MIDDLE_BYTES", 500, raising=False)
+    sizes = np.random.default_rng(5).choice([50, 100, 400, 5000], 3000, p=[0.3, 0.3, 0.39, 0.01])
+    whole = pa.RecordBatch.from_arrays([pa.array(["x" * int(n) for n in sizes]), pa.array(range(len(sizes)))], ["text", "id"])
+    found = list(language_model._by_length(whole.slice(k, 400) for k in range(0, len(sizes), 400)))
+    assert sorted(x for s in found for x in s.column("id").to_pylist()) == list(range(len(sizes)))
+    longest = [max(map(len, s.column("text").to_pylist())) for s in found]
+    assert len(found) <= -(-int(sizes.sum()) // 100_000) + 1
+    assert longest.count(5000) == 2
+    large = pa.RecordBatch.from_arrays([pa.array(["x" * 150_000, "y", "x" * 80_000, "x" * 150_000])], ["text"])
+    found = [s.column("text").to_pylist() for s in language_model._by_length(iter([large, large]))]
+    assert sorted(sum(found, [])) == sorted(large.column("text").to_pylist() * 2)
+    assert all(len(s) == 1 or sum(map(len, s)) <= 100_000 for s in found)
+
+
+def test_known_words_by_count(spark, monkeypatch):
+    """The most frequent words, and of the least count among them a share, without an order of all words."""
+    monkeypatch.setattr(language_model, "KNOWN_WORDS", 500)
+    of = {9: 3, 4: 97, 2: 2000, 1: 5000}
+    counts = spark.createDataFrame([(b"%d-%d" % (c, k), c) for c, n in of.items() for k in range(n)], "word binary, c bigint")
+    known = language_model._known(of)
+    found = dict(counts.where(known).groupBy("c").count().collect())
+    assert (found[9], found[4], set(found)) == (3, 97, {9, 4, 2}) and 300 < found[2] <= 400
+    assert counts.where(~known).count() == 7100 - sum(found.values())
+    assert counts.where(language_model._known({2: 400, 1: 100})).count() == 7100
+
+
+def test_sums_of_rows_by_number():
+    r = np.random.default_rng(6)
+    for n, most in ((1, 1), (16, 1), (17, 3), (900, 200)):
+        numbers, rows = np.minimum(r.integers(0, most, n), r.integers(0, most, n)).astype(np.int32), r.standard_normal((3, n, 4))
+        found, sums = language_model._sums(numbers, rows)
+        assert sorted(found) == sorted(set(numbers.tolist()))
+        for k, x in zip(found, sums.swapaxes(0, 1), strict=True):
+            assert x == pytest.approx(rows[:, numbers == k].sum(axis=1))
+
+
+def test_logs_by_blocks():
+    r = np.random.default_rng(7)
+    states, target = np.tanh(r.standard_normal((2 * language_model.BLOCK + 5, 6))), r.integers(0, 9, 2 * language_model.BLOCK + 5)
+    for width in (1, 200):
+        (outputs,) = language_model._groups(r.standard_normal((1, 9, 6)) * width, r.standard_normal((1, 9)))
+        assert outputs.narrow == (width == 1)
+        assert outputs.logs(states, target) == pytest.approx(outputs(states, target)[0])
+
+
 def test_classes_of_tail_words():
     words = [b"a", b"\xc3\xa9", b"abc", b"bc", b"\x00", b"c" * 40]
     assert language_model._tails(pa.array([b"left out", *words], pa.binary())[1:]).tolist() == [language_model.tail_class(w) for w in words]

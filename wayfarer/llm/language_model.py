@@ -38,8 +38,10 @@ RATE = 0.01
 BLOCK = 416  # tokens whose probabilities are worked out at once: products of this size need no packing by OpenBLAS
 CACHED = 16_384  # parameters that are stepped at once
 FREQUENT = 16  # inputs found as often in a window are summed one by one
+HASHED = 4096  # words that are hashed at once, in a core's cache
 HELD_WORDS = 1_000_000  # that a worker counts before it hands them on
-KNOWN_WORDS = 1_000_000  # counts sent to all executors, 12 bytes each; the rest are joined
+KNOWN_WORDS = 1_000_000  # counts sent to all executors at most, 12 bytes each; the rest are joined
+SHARES = 1 << 20  # parts of the words of one count, by hash
 SEED = 11
 
 
@@ -76,7 +78,11 @@ def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(words: pa.Array) -> np.ndarray:
     data, edges = _bytes(words)
-    return run_hashes(data, edges[:-1], np.diff(edges)).view(np.int64)
+    found = np.empty(len(words), np.uint64)
+    for a in range(0, len(words), HASHED):
+        own = edges[a : a + HASHED + 1]
+        found[a : a + HASHED] = run_hashes(data[own[0] : own[-1]], own[:-1] - own[0], np.diff(own))
+    return found.view(np.int64)
 
 
 def _tails(words: pa.Array) -> np.ndarray:
@@ -465,8 +471,13 @@ def _by_length(batches):
     held: list[list[pa.RecordBatch]] = [[], [], []]
     size = [0, 0, 0]
 
-    def sliced(parts: list[pa.RecordBatch]):
-        return slices(pa.Table.from_batches(parts).combine_chunks().to_batches(), "text", SLICE_BYTES) if parts else ()
+    def sliced(*kinds: int):
+        parts = [batch for kind in kinds for batch in held[kind]]
+        for kind in kinds:
+            held[kind], size[kind] = [], 0
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else []
+        del parts
+        yield from slices(whole, "text", SLICE_BYTES)
 
     for batch in batches:
         n = pc.binary_length(batch.column("text")).to_numpy()
@@ -476,19 +487,20 @@ def _by_length(batches):
             held[kind].append(batch if own.all() else batch.filter(pa.array(own)))
             size[kind] += int(n[own].sum(dtype=np.int64))
             if size[kind] > SLICE_BYTES:
-                parts, held[kind], size[kind] = held[kind], [], 0
-                for part in sliced(parts):
-                    if held[kind]:
-                        yield held[kind].pop()
-                    held[kind].append(part)
-                size[kind] = pc.sum(pc.binary_length(held[kind][0].column("text"))).as_py()
+                rest = None
+                for part in sliced(kind):
+                    if rest is not None:
+                        yield rest
+                    rest = part
+                size[kind] = pc.sum(pc.binary_length(rest.column("text"))).as_py()
                 if size[kind] > SLICE_BYTES:
                     size[kind] = 0
-                    yield held[kind].pop()
-    short, middle, long = held
-    del held
-    yield from sliced(middle + short)
-    yield from sliced(long)
+                    yield rest
+                else:  # what does not fill a slice goes on with the next batches
+                    held[kind] = [rest]
+                del rest
+    yield from sliced(1, 0)
+    yield from sliced(2)
 
 
 def held_out() -> Column:
@@ -540,6 +552,18 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, np.array([ends, *(r["c"] for r in top)], np.int64), sums, words)
 
 
+def _known(n_words: dict[int, int]) -> Column:
+    """Whether a word's count is sent to all executors, from the number of words by count: the most frequent words are, and
+    of the least count among them a share by hash, which needs no order of all words."""
+    above = 0
+    for c in sorted(n_words, reverse=True):
+        if above + n_words[c] > KNOWN_WORDS:
+            share = (KNOWN_WORDS - above) * SHARES // n_words[c] * 99 // 100  # drawn by hash, it is not met exactly
+            return (F.col("c") > c) | ((F.col("c") == c) & (F.pmod(F.xxhash64("word"), F.lit(SHARES)) < share))
+        above += n_words[c]
+    return F.lit(True)
+
+
 def _in_round(k: int) -> Column:
     """Whether round k trains on a document."""
     return F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(SHARE)) == k
@@ -583,11 +607,13 @@ def scored(docs: DataFrame) -> DataFrame:
     learnt = rows.where(~F.col("held_out"))
     with small_batches(docs.sparkSession):
         counts = stored(_counts(learnt.select("text")), "lm-counts")
-    n_all, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    by_count = {r["c"]: r["n"] for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_all, n_words = sum(c * n for c, n in by_count.items()), sum(by_count.values())
     vocabulary = _vocabulary(counts)
     with small_batches(docs.sparkSession):
         parameters = _trained(learnt, vocabulary)
-    known = (counts.orderBy(F.desc("c"), "word").limit(KNOWN_WORDS) if n_words > KNOWN_WORDS else counts).select("word", "c").toArrow().combine_chunks()
+    sent_words = _known(by_count)
+    known = counts.where(sent_words).select("word", "c").toArrow().combine_chunks()
     words = known.column("word").combine_chunks() if known.num_rows else pa.array([], pa.binary())
     hashes = _hashes(words)
     order = np.argsort(hashes, kind="stable")
@@ -634,7 +660,7 @@ def scored(docs: DataFrame) -> DataFrame:
         with small_batches(docs.sparkSession):
             found = stored(found, "lm-scored")
         # no word here is frequent, so that none is a hot key
-        more = found.select("doc_id", "text_key", F.explode("rare").alias("word")).join(counts, "word").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        more = found.select("doc_id", "text_key", F.explode("rare").alias("word")).join(counts.where(~sent_words), "word").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
         more = more.agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
         # rows that are repeated were exploded each: their sums are shared out again
         times = found.groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__k")).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
