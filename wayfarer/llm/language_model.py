@@ -206,10 +206,12 @@ class _Outputs(NamedTuple):
     def logs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probabilities of the targets, by blocks whose exponentials stay in a core's cache."""
         n, width = len(states), len(self.biases)
+        picked = np.empty(n, states.dtype)
         if not self.narrow:
-            return np.concatenate([self(states[a : a + BLOCK], target[a : a + BLOCK])[0] for a in range(0, n, BLOCK)])
-        e = np.empty((min(n, BLOCK), width), states.dtype)
-        picked, total = np.empty(n, states.dtype), np.empty(n, states.dtype)
+            for a in range(0, n, BLOCK):
+                picked[a : a + BLOCK] = self(states[a : a + BLOCK], target[a : a + BLOCK])[0]
+            return picked
+        e, total = np.empty((min(n, BLOCK), width), states.dtype), np.empty(n, states.dtype)
         for a in range(0, n, BLOCK):
             s = states[a : a + BLOCK]
             if len(s) < len(e):
@@ -250,9 +252,9 @@ def _sums(numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     by = np.argsort(-times, kind="stable")
     first, times = first[by], times[by]
     frequent = int(np.searchsorted(-times, -FREQUENT, side="right"))
-    sums = rows.take(order[first], axis=1)
+    sums, ones = rows.take(order[first], axis=1), np.ones(times[0], rows.dtype)
     for k, (a, n) in enumerate(zip(first[:frequent].tolist(), times[:frequent].tolist(), strict=True)):
-        np.matmul(np.ones(n, rows.dtype), rows.take(order[a : a + n], axis=1), out=sums[:, k])
+        np.matmul(ones[:n], rows.take(order[a : a + n], axis=1), out=sums[:, k])
     for j in range(1, int(times[frequent]) if frequent < len(times) else 0):
         end = int(np.searchsorted(-times, -j, side="left"))  # those that occur more than j times
         sums[:, frequent:end] += rows.take(order[first[frequent:end] + j], axis=1)
