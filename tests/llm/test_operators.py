@@ -129,6 +129,8 @@ def test_slices_are_filled(monkeypatch):
     longest = [max(map(len, s.column("text").to_pylist())) for s in found]
     assert len(found) <= -(-int(sizes.sum()) // 100_000) + 1
     assert longest.count(5000) == 2
+    mixed = language_model._by_length((whole.slice(k, 400) for k in range(0, len(sizes), 400)), language_model.LONG_BYTES)  # as training takes them
+    assert min(max(map(len, s.column("text").to_pylist())) for s in mixed) == 5000
     large = pa.RecordBatch.from_arrays([pa.array(["x" * 150_000, "y", "x" * 80_000, "x" * 150_000])], ["text"])
     found = [s.column("text").to_pylist() for s in language_model._by_length(iter([large, large]))]
     assert sorted(sum(found, [])) == sorted(large.column("text").to_pylist() * 2)

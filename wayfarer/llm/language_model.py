@@ -467,9 +467,10 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return numbers, words, edges + np.arange(len(edges))
 
 
-def _by_length(batches):
-    """Slices of texts of like length: full ones as they come, in the end those of middle length with what is left of the
+def _by_length(batches, middle: int | None = None):
+    """Slices of texts of like length: full ones as they come, in the end those of over `middle` bytes with what is left of the
     short ones, and the long ones."""
+    middle = MIDDLE_BYTES if middle is None else middle
     held: list[list[pa.RecordBatch]] = [[], [], []]
     size = [0, 0, 0]
 
@@ -483,7 +484,7 @@ def _by_length(batches):
 
     for batch in batches:
         n = pc.binary_length(batch.column("text")).to_numpy()
-        kinds = (n > MIDDLE_BYTES).astype(np.int8) + (n > LONG_BYTES)
+        kinds = (n > middle).astype(np.int8) + (n > LONG_BYTES)
         for kind in np.unique(kinds).tolist():
             own = kinds == kind
             held[kind].append(batch if own.all() else batch.filter(pa.array(own)))
@@ -582,7 +583,7 @@ def _trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             parameters = {k: x.copy() for k, x in parameters.items()}
             network, seen = Network(parameters, len(vocabulary.head)), 0
             adam = Adam(parameters)
-            for batch in _by_length(batches):
+            for batch in _by_length(batches, LONG_BYTES):  # fewer, longer texts to a window: gradients flow over more steps
                 flat, words, edges = _tokens(batch.column("text"))
                 if batch.num_rows:
                     seen += train(network, adam, np.split(_numbered(words, vocabulary)[flat], edges[1:-1]))
